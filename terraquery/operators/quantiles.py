@@ -1,0 +1,244 @@
+"""Mergeable quantiles: dyadic Count-sketches.
+
+A value is encoded on a fixed grid: ``code = floor((v - lo) / step)`` clipped to
+``[0, 2^bits)``.  For each binary resolution p the sketch counts how many values
+share the first p bits of their code.  Resolutions with few cells are counted
+exactly; each finer one is a signed Count-sketch of ``depth`` rows and ``width``
+columns.  All counters are sums of signed ones, so sketches of partitions, days or
+any other parts are merged by addition, and a row of weight -1 deletes a value.  A
+rank is inverted by descending the resolutions from the coarsest.
+
+A sketch is stored as rows ``(keys..., level, slot, n)``.  A group starts sparse:
+at level ``bits`` with its exact codes, one row per code.  Beyond ``sparse_limit``
+codes (about the size of the dense form) it is turned into counters; both forms are
+linear and can be added to each other at any time.
+
+Error.  A value is off by at most step/2 from its cell.  A group in sparse form has
+no rank error.  For a dense group ``rank_error`` states three standard deviations
+of the estimated rank as a share of the group's rows: each estimated node of
+resolution p has a variance of at most F2(p)/width, F2(p) - the sum of squared cell
+counts - being estimated from the sketch itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass(frozen=True)
+class SketchSpec:
+    lo: float = -32768.0
+    step: float = 1 / 1024
+    bits: int = 26
+    width: int = 256
+    depth: int = 5
+    sparse_limit: int = 20_480
+
+    @property
+    def exact_bits(self) -> int:
+        """Finest resolution that is counted exactly (no more cells than a sketch has)."""
+        return (self.width * self.depth).bit_length() - 1
+
+    def encode(self, value: Column) -> Column:
+        cell = F.floor((value - F.lit(self.lo)) / F.lit(self.step))
+        return F.least(F.greatest(cell, F.lit(0)), F.lit((1 << self.bits) - 1)).cast("int")
+
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        return self.lo + (code + 0.5) * self.step
+
+
+def _hash(level: int, row: int, cell: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of (level, row, cell): bucket from the low bits, sign from the top bit."""
+    with np.errstate(over="ignore"):
+        h = cell.astype("uint64") + np.uint64(1 + level * 131 + row * 65537) * _MIX
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        return h ^ (h >> np.uint64(31))
+
+
+def _counters(spec: SketchSpec, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level, slot and count of the dense form of exact codes."""
+    levels, slots, counts = [], [], []
+
+    def put(level: int, size: int, slot: np.ndarray, weight: np.ndarray) -> None:
+        dense = np.bincount(slot, weights=weight, minlength=size)
+        hit = np.flatnonzero(dense)
+        levels.append(np.full(len(hit), level, "int32"))
+        slots.append(hit.astype("int32"))
+        counts.append(np.rint(dense[hit]).astype("int64"))
+
+    w = n.astype("float64")
+    for p in range(min(spec.exact_bits, spec.bits - 1) + 1):
+        put(p, 1 << p, code >> (spec.bits - p), w)
+    for p in range(spec.exact_bits + 1, spec.bits + 1):
+        cell = code >> (spec.bits - p)
+        for r in range(spec.depth):
+            h = _hash(p, r, cell)
+            sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+            # level of a dense row: bits + 1 + p, so that it never meets the sparse level
+            slot = (h % np.uint64(spec.width)).astype("int64") + r * spec.width
+            put(spec.bits + 1 + p, spec.width * spec.depth, slot, w * sign)
+    return np.concatenate(levels), np.concatenate(slots), np.concatenate(counts)
+
+
+def sketch(df: DataFrame, keys: Sequence[str], value: str, spec: SketchSpec = SketchSpec(), weight: str | None = None) -> DataFrame:
+    """Sketch rows ``(keys..., level, slot, n)`` of finite values, per group of ``keys``.
+
+    Null, NaN and infinite values are left out; null keys form a group.  ``weight`` is
+    1 or, to delete, -1.  Codes are added up inside each partition before the shuffle.
+    """
+    v = F.col(value).cast("double")
+    good = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e300)))
+    n = F.sum(F.col(weight).cast("bigint")) if weight else F.count(F.lit(1))
+    leaves = good.groupBy(*keys, spec.encode(v).alias("slot")).agg(n.alias("n"))
+    return compact(leaves.select(*keys, F.lit(spec.bits).alias("level"), "slot", "n").where("n <> 0"), keys, spec)
+
+
+def _same(keys: Sequence[str]) -> Column:
+    """Null-safe equality of the key columns of l and r."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return on
+
+
+def compact(rows: DataFrame, keys: Sequence[str], spec: SketchSpec = SketchSpec()) -> DataFrame:
+    """Turn the sparse codes of groups with more than ``sparse_limit`` of them into counters."""
+    keys = list(keys)
+    sparse = F.col("level") == spec.bits
+    large = rows.where(sparse).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > spec.sparse_limit).select(*keys, F.lit(True).alias("__large"))
+    if keys:
+        tagged = rows.alias("l").join(large.alias("r"), _same(keys), "left").select("l.*", F.coalesce("r.__large", F.lit(False)).alias("__large"))
+    else:
+        # one group: the aggregate has one row or none
+        tagged = rows.withColumn("__large", F.lit(large.count() > 0))
+    schema = rows.schema
+
+    def densify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
+                level, slot, n = _counters(spec, part["slot"].to_numpy("int64"), part["n"].to_numpy("int64"))
+                out = pd.DataFrame({"level": level, "slot": slot, "n": n})
+                for k, v in zip(keys, key if isinstance(key, tuple) else (key,)):
+                    out[k] = part[k].iloc[0] if not pd.isna(v) else None
+                yield out[[f.name for f in schema.fields]]
+
+    go = sparse & F.col("__large")
+    # Equal groups are brought together in sorted runs, so a batch holds few groups.
+    todo = tagged.where(go).select(*rows.columns)
+    if keys:
+        todo = todo.repartition(*keys, F.pmod(F.col("slot"), F.lit(8))).sortWithinPartitions(*keys)
+    dense = todo.mapInPandas(densify, schema)
+    made = dense.groupBy(*keys, "level", "slot").agg(F.sum("n").alias("n")) if keys else dense.groupBy("level", "slot").agg(F.sum("n").alias("n"))
+    kept = tagged.where(~go).select(*rows.columns)
+    return kept.unionByName(made.select(*rows.columns))
+
+
+def merge(rows: DataFrame, keys: Sequence[str], spec: SketchSpec = SketchSpec()) -> DataFrame:
+    """Add up sketches over the groups of ``keys`` (a subset of their key columns)."""
+    keys = list(keys)
+    added = rows.groupBy(*keys, "level", "slot").agg(F.sum("n").alias("n")).where("n <> 0")
+    return compact(added.select(*keys, "level", "slot", "n"), keys, spec)
+
+
+def _invert(spec: SketchSpec, level: np.ndarray, slot: np.ndarray, n: np.ndarray, probs: Sequence[float]) -> tuple[int, list[float], float]:
+    """Rows, quantile values and the rank error of one dense (or mixed) group."""
+    sparse = level == spec.bits
+    if sparse.any():
+        more = _counters(spec, slot[sparse].astype("int64"), n[sparse])
+        level, slot, n = (np.concatenate([a[~sparse], b]) for a, b in zip((level, slot, n), more))
+    # counters of one level never interleave with those of another
+    table = {}
+    for p in range(spec.bits + 1):
+        at = level == (p if p <= spec.exact_bits else spec.bits + 1 + p)
+        size = 1 << p if p <= spec.exact_bits else spec.width * spec.depth
+        table[p] = np.bincount(slot[at], weights=n[at].astype("float64"), minlength=size)
+    total = table[0].sum()
+    if total <= 0:
+        return 0, [float("nan")] * len(probs), 0.0
+
+    def count(p: int, cell: np.ndarray) -> np.ndarray:
+        if p <= spec.exact_bits:
+            return table[p][cell]
+        rows = []
+        for r in range(spec.depth):
+            h = _hash(p, r, cell)
+            sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+            rows.append(sign * table[p][(h % np.uint64(spec.width)).astype("int64") + r * spec.width])
+        return np.median(rows, axis=0)
+
+    # the k-th smallest with k = ceil(q n): the smallest value whose rank reaches it
+    want = np.maximum(np.ceil(np.asarray(probs) * total), 1.0)
+    node = np.zeros(len(want), "int64")
+    have = np.full(len(want), total)
+    for p in range(1, spec.bits + 1):
+        left = count(p, node * 2)
+        left = np.clip(left, 0, have)
+        if p > spec.exact_bits:
+            right = np.clip(count(p, node * 2 + 1), 0, have)
+            both = left + right
+            left = np.where(both > 0, have * left / np.where(both > 0, both, 1), have / 2)  # children add up to their parent
+        go = want > left
+        want = np.where(go, want - left, want)
+        have = np.maximum(np.where(go, have - left, left), 0)
+        node = node * 2 + go
+    f2 = [np.median((table[p].reshape(spec.depth, spec.width) ** 2).sum(axis=1)) for p in range(spec.exact_bits + 1, spec.bits + 1)]
+    error = 3 * float(np.sqrt(sum(f2) / spec.width)) / total
+    return int(total), spec.decode(node).tolist(), min(error, 1.0)
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], spec: SketchSpec = SketchSpec(), names: Sequence[str] | None = None) -> DataFrame:
+    """Per group ``n``, one column per probability, ``rank_error`` and ``value_error``.
+
+    The quantile q is the smallest grid cell whose rank reaches ceil(q n).  Sparse
+    groups are inverted in the JVM by a running sum over at most ``sparse_limit``
+    codes; a dense group is at most the counters of one sketch and is inverted in one
+    vectorised step.  Groups whose weights add up to nothing are left out.
+    """
+    keys = list(keys)
+    names = list(names) if names else [f"q{p:g}" for p in probs]
+    key_cols = keys or ["__one"]
+    if not keys:
+        rows = rows.withColumn("__one", F.lit(1))
+    sparse_level = F.lit(spec.bits)
+    kinds = rows.groupBy(*key_cols).agg(
+        F.max(F.col("level") != sparse_level).alias("__dense"),
+        F.sort_array(F.collect_list(F.when(F.col("level") == sparse_level, F.struct("slot", "n")))).alias("__codes"),
+    )
+    # sparse groups hold at most sparse_limit codes, and compact() leaves no larger ones
+    small = kinds.where(~F.col("__dense")).withColumn("n", F.aggregate("__codes", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])).where("n > 0")
+
+    def pick(p: float) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("slot"))
+        k = F.greatest(F.ceil(F.lit(float(p)) * F.col("n")), F.lit(1))
+        done = F.aggregate("__codes", start, lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["slot"].isNull() & (a["seen"] + x["n"] >= k), x["slot"]).otherwise(a["slot"]).alias("slot")))
+        return (F.lit(spec.lo) + (done["slot"] + F.lit(0.5)) * F.lit(spec.step))
+
+    exact = small.select(*key_cols, "n", *[pick(p).alias(c) for p, c in zip(probs, names)], F.lit(0.0).alias("rank_error"), F.lit(spec.step / 2).alias("value_error"))
+    schema = T.StructType([*[rows.schema[k] for k in key_cols], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names], T.StructField("rank_error", T.DoubleType()), T.StructField("value_error", T.DoubleType())])
+
+    def invert(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, found, error = _invert(spec, pdf["level"].to_numpy(), pdf["slot"].to_numpy(), pdf["n"].to_numpy(), probs)
+        if n <= 0:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        return pd.DataFrame([[*key, n, *found, error, spec.step / 2]], columns=[f.name for f in schema.fields])
+
+    dense_keys = rows.groupBy(*key_cols).agg(F.max(F.col("level") != sparse_level).alias("__dense")).where("__dense").select(*key_cols)
+    dense = rows.alias("l").join(dense_keys.alias("r"), _same(key_cols), "left_semi").groupBy(*key_cols).applyInPandas(invert, schema)
+    out = exact.unionByName(dense)
+    return out if keys else out.drop("__one")
+
+
+def rank_of(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """Exact shares of values at or below each cut, for checking a sketch."""
+    v = F.col(value)
+    return df.agg(*[F.avg((v <= F.lit(float(c))).cast("double")).alias(f"r{i}") for i, c in enumerate(cuts)])
