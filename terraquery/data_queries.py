@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terraquery.functions.keys import point_sim_id, row_key_text, trimmed
 from terraquery.operators import balanced, nearby, quantiles, references
+from terraquery.session import written
 from terraquery.sources import lines
 
 NODATA = -9999.0
@@ -48,34 +49,30 @@ def p1_cell_tasks(spark: SparkSession, sf: str) -> DataFrame:
 PROBS = {"p01": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
+SCOPES = {"sim": ["sim_id"], "sim_day": ["sim_id", "day"], "day": ["day"], "all": []}
+SKETCH = quantiles.SketchSpec()
+
+
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    df = _points_by_sim(spark, sf).where(F.col("t").isNotNull())
+    return df.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("time_millis") / 86400000).cast("int")))
+
+
 def daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
     """Sketches of t per normalised sim_id and UTC day: the rows to keep and combine."""
-    df = _points_by_sim(spark, sf).where(F.col("t").isNotNull())
-    return quantiles.sketch(df.withColumn("day", F.floor(F.col("time_millis") / 86400000).cast("int")), ["sim_id", "day"], "t")
+    return quantiles.sketch(_days(spark, sf), ["sim_id", "day"], "t")
 
 
 def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per sim_id over all days, per sim_id and day, per day, and of everything."""
-    daily = daily_sketches(spark, sf)
-    parts = []
-    for scope, keys in (("sim", ["sim_id"]), ("sim_day", ["sim_id", "day"]), ("day", ["day"]), ("all", [])):
-        rows = daily if scope == "sim_day" else quantiles.merge(daily, keys)
-        q = quantiles.quantiles(rows, keys, list(PROBS.values()), names=list(PROBS))
-        day = F.col("day") if "day" in keys else F.lit(None).cast("int")
-        parts.append(q.select(
-            F.lit(scope).alias("scope"), (F.col("sim_id") if "sim_id" in keys else F.lit(None).cast("string")).alias("sim_id"),
-            F.when(day.isNotNull(), F.date_add(F.lit("1970-01-01").cast("date"), day)).alias("day"), "n", *PROBS, "rank_error", "value_error"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = quantiles.merge_scopes(quantiles.leaves(_days(spark, sf), ["sim_id", "day"], "t"), ["sim_id", "day"], SCOPES)
+    return quantiles.quantiles(rows, ["scope", "sim_id", "day"], list(PROBS.values()), names=list(PROBS))
 
 
 def p2_span(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of a span of days, combined from the sketches of its single days."""
-    daily = daily_sketches(spark, sf).where("day between 19844 and 19933")
-    q = quantiles.quantiles(quantiles.merge(daily, ["sim_id"]), ["sim_id"], list(PROBS.values()), names=list(PROBS))
-    return q.select("sim_id", "n", *PROBS, "rank_error", "value_error")
+    """Percentiles of a quarter, combined from the kept sketches of its single days."""
+    days = written(daily_sketches(spark, sf)).where("day between date'2024-05-01' and date'2024-07-31'")
+    return quantiles.quantiles(quantiles.merge(days, ["sim_id"]), ["sim_id"], list(PROBS.values()), names=list(PROBS))
 
 
 # 3 - points near other points or regions

@@ -15,9 +15,10 @@ linear and can be added to each other at any time.
 
 Error.  A value is off by at most step/2 from its cell.  A group in sparse form has
 no rank error.  For a dense group ``rank_error`` states three standard deviations
-of the estimated rank as a share of the group's rows: each estimated node of
-resolution p has a variance of at most F2(p)/width, F2(p) - the sum of squared cell
-counts - being estimated from the sketch itself.
+of the estimated rank as a share of the group's rows: a node of resolution p is
+estimated with a variance of at most F2(p)/width, where F2(p) is the sum of squared
+cell counts without the heaviest width/16 cells, which the median over the rows of a
+sketch keeps out.  F2 is read off the sketch itself.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terraquery.session import written
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,9 +42,9 @@ class SketchSpec:
     lo: float = -32768.0
     step: float = 1 / 1024
     bits: int = 26
-    width: int = 256
+    width: int = 512
     depth: int = 5
-    sparse_limit: int = 20_480
+    sparse_limit: int = 40_960
 
     @property
     def exact_bits(self) -> int:
@@ -90,66 +93,76 @@ def _counters(spec: SketchSpec, code: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return np.concatenate(levels), np.concatenate(slots), np.concatenate(counts)
 
 
-def sketch(df: DataFrame, keys: Sequence[str], value: str, spec: SketchSpec = SketchSpec(), weight: str | None = None) -> DataFrame:
-    """Sketch rows ``(keys..., level, slot, n)`` of finite values, per group of ``keys``.
+def leaves(df: DataFrame, keys: Sequence[str], value: str, spec: SketchSpec = SketchSpec(), weight: str | None = None) -> DataFrame:
+    """Sketch rows in sparse form: per group of ``keys`` the exact codes and their counts.
 
     Null, NaN and infinite values are left out; null keys form a group.  ``weight`` is
     1 or, to delete, -1.  Codes are added up inside each partition before the shuffle.
     """
     v = F.col(value).cast("double")
-    good = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e300)))
+    good = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     n = F.sum(F.col(weight).cast("bigint")) if weight else F.count(F.lit(1))
-    leaves = good.groupBy(*keys, spec.encode(v).alias("slot")).agg(n.alias("n"))
-    return compact(leaves.select(*keys, F.lit(spec.bits).alias("level"), "slot", "n").where("n <> 0"), keys, spec)
+    rows = good.groupBy(*keys, spec.encode(v).alias("slot")).agg(n.alias("n"))
+    return rows.select(*keys, F.lit(spec.bits).alias("level"), "slot", "n").where("n <> 0")
 
 
-def _same(keys: Sequence[str]) -> Column:
-    """Null-safe equality of the key columns of l and r."""
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return on
+def sketch(df: DataFrame, keys: Sequence[str], value: str, spec: SketchSpec = SketchSpec(), weight: str | None = None) -> DataFrame:
+    """Sketch rows ``(keys..., level, slot, n)``, per group of ``keys``; see ``leaves``."""
+    return compact(leaves(df, keys, value, spec, weight), keys, spec)
 
 
 def compact(rows: DataFrame, keys: Sequence[str], spec: SketchSpec = SketchSpec()) -> DataFrame:
     """Turn the sparse codes of groups with more than ``sparse_limit`` of them into counters."""
-    keys = list(keys)
+    keys, cols = list(keys), rows.columns
+    rows = written(rows)
     sparse = F.col("level") == spec.bits
-    large = rows.where(sparse).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > spec.sparse_limit).select(*keys, F.lit(True).alias("__large"))
+    by = keys or [F.lit(1)]
+    large = rows.where(sparse).groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > spec.sparse_limit)
     if keys:
-        tagged = rows.alias("l").join(large.alias("r"), _same(keys), "left").select("l.*", F.coalesce("r.__large", F.lit(False)).alias("__large"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        tagged = rows.alias("l").join(large.select(*keys, F.lit(True).alias("__large")).alias("r"), on, "left").select("l.*", F.coalesce("r.__large", F.lit(False)).alias("__large"))
     else:
-        # one group: the aggregate has one row or none
         tagged = rows.withColumn("__large", F.lit(large.count() > 0))
     schema = rows.schema
 
     def densify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
+            for _, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [(0, pdf)]:
                 level, slot, n = _counters(spec, part["slot"].to_numpy("int64"), part["n"].to_numpy("int64"))
                 out = pd.DataFrame({"level": level, "slot": slot, "n": n})
-                for k, v in zip(keys, key if isinstance(key, tuple) else (key,)):
-                    out[k] = part[k].iloc[0] if not pd.isna(v) else None
+                for k in keys:
+                    first = part[k].iloc[0]
+                    out[k] = pd.Series([None if pd.isna(first) else first] * len(out), dtype=object if pd.isna(first) else part[k].dtype)
                 yield out[[f.name for f in schema.fields]]
 
-    go = sparse & F.col("__large")
-    # Equal groups are brought together in sorted runs, so a batch holds few groups.
-    todo = tagged.where(go).select(*rows.columns)
-    if keys:
-        todo = todo.repartition(*keys, F.pmod(F.col("slot"), F.lit(8))).sortWithinPartitions(*keys)
-    dense = todo.mapInPandas(densify, schema)
-    made = dense.groupBy(*keys, "level", "slot").agg(F.sum("n").alias("n")) if keys else dense.groupBy("level", "slot").agg(F.sum("n").alias("n"))
-    kept = tagged.where(~go).select(*rows.columns)
-    return kept.unionByName(made.select(*rows.columns))
+    # the codes of a group come to a few tasks in sorted runs, so that a batch holds few groups
+    todo = tagged.where(sparse & F.col("__large")).select(*cols).repartition(*[F.col(k) for k in keys], F.pmod(F.col("slot"), F.lit(4)))
+    dense = todo.sortWithinPartitions(*keys).mapInPandas(densify, schema) if keys else todo.mapInPandas(densify, schema)
+    kept = tagged.where(~(sparse & F.col("__large"))).select(*cols)
+    return kept.unionByName(dense.groupBy(*keys, "level", "slot").agg(F.sum("n").alias("n")).select(*cols))
 
 
 def merge(rows: DataFrame, keys: Sequence[str], spec: SketchSpec = SketchSpec()) -> DataFrame:
     """Add up sketches over the groups of ``keys`` (a subset of their key columns)."""
-    keys = list(keys)
     added = rows.groupBy(*keys, "level", "slot").agg(F.sum("n").alias("n")).where("n <> 0")
     return compact(added.select(*keys, "level", "slot", "n"), keys, spec)
 
 
+def merge_scopes(rows: DataFrame, keys: Sequence[str], scopes: dict[str, Sequence[str]], spec: SketchSpec = SketchSpec()) -> DataFrame:
+    """Several merges in one aggregation: rows ``(scope, keys..., level, slot, n)``.
+
+    ``scopes`` names subsets of ``keys``; the other key columns are null in that scope.
+    """
+    keys = list(keys)
+    each = F.explode(F.array(*[F.lit(s) for s in scopes])).alias("scope")
+    wide = rows.select(each, *rows.columns)
+    for k in keys:
+        wide = wide.withColumn(k, F.when(F.col("scope").isin([s for s, of in scopes.items() if k in of]), F.col(k)))
+    return merge(wide, ["scope", *keys], spec)
+
+
 def _invert(spec: SketchSpec, level: np.ndarray, slot: np.ndarray, n: np.ndarray, probs: Sequence[float]) -> tuple[int, list[float], float]:
     """Rows, quantile values and the rank error of one dense (or mixed) group."""
     sparse = level == spec.bits
@@ -177,7 +190,7 @@ def _invert(spec: SketchSpec, level: np.ndarray, slot: np.ndarray, n: np.ndarray
         return np.median(rows, axis=0)
 
     # the k-th smallest with k = ceil(q n): the smallest value whose rank reaches it
-    want = np.maximum(np.ceil(np.asarray(probs) * total), 1.0)
+    want = np.maximum(np.ceil(np.asarray(probs) * total - 1e-9), 1.0)
     node = np.zeros(len(want), "int64")
     have = np.full(len(want), total)
     for p in range(1, spec.bits + 1):
@@ -191,7 +204,8 @@ def _invert(spec: SketchSpec, level: np.ndarray, slot: np.ndarray, n: np.ndarray
         want = np.where(go, want - left, want)
         have = np.maximum(np.where(go, have - left, left), 0)
         node = node * 2 + go
-    f2 = [np.median((table[p].reshape(spec.depth, spec.width) ** 2).sum(axis=1)) for p in range(spec.exact_bits + 1, spec.bits + 1)]
+    rest = spec.width - spec.width // 16
+    f2 = [np.median(np.sort(table[p].reshape(spec.depth, spec.width) ** 2, axis=1)[:, :rest].sum(axis=1)) for p in range(spec.exact_bits + 1, spec.bits + 1)]
     error = 3 * float(np.sqrt(sum(f2) / spec.width)) / total
     return int(total), spec.decode(node).tolist(), min(error, 1.0)
 
@@ -199,43 +213,51 @@ def _invert(spec: SketchSpec, level: np.ndarray, slot: np.ndarray, n: np.ndarray
 def quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], spec: SketchSpec = SketchSpec(), names: Sequence[str] | None = None) -> DataFrame:
     """Per group ``n``, one column per probability, ``rank_error`` and ``value_error``.
 
-    The quantile q is the smallest grid cell whose rank reaches ceil(q n).  Sparse
-    groups are inverted in the JVM by a running sum over at most ``sparse_limit``
-    codes; a dense group is at most the counters of one sketch and is inverted in one
-    vectorised step.  Groups whose weights add up to nothing are left out.
+    The quantile q is the smallest grid cell whose rank reaches ceil(q n).  A group is at
+    most ``sparse_limit`` codes or the counters of one sketch, whatever it summarises;
+    it becomes one row with two arrays.  Sparse groups are inverted together, a batch at
+    a time, dense ones by descent.  Groups whose weights add up to nothing are left out.
     """
     keys = list(keys)
     names = list(names) if names else [f"q{p:g}" for p in probs]
-    key_cols = keys or ["__one"]
+    code = F.shiftleft(F.col("level").cast("bigint"), 32) + F.col("slot")
+    groups = rows.groupBy(*keys).agg(F.max(F.col("level") != spec.bits).alias("__dense"), F.collect_list(code).alias("__code"), F.collect_list("n").alias("__n"))
     if not keys:
-        rows = rows.withColumn("__one", F.lit(1))
-    sparse_level = F.lit(spec.bits)
-    kinds = rows.groupBy(*key_cols).agg(
-        F.max(F.col("level") != sparse_level).alias("__dense"),
-        F.sort_array(F.collect_list(F.when(F.col("level") == sparse_level, F.struct("slot", "n")))).alias("__codes"),
-    )
-    # sparse groups hold at most sparse_limit codes, and compact() leaves no larger ones
-    small = kinds.where(~F.col("__dense")).withColumn("n", F.aggregate("__codes", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])).where("n > 0")
-
-    def pick(p: float) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("slot"))
-        k = F.greatest(F.ceil(F.lit(float(p)) * F.col("n")), F.lit(1))
-        done = F.aggregate("__codes", start, lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["slot"].isNull() & (a["seen"] + x["n"] >= k), x["slot"]).otherwise(a["slot"]).alias("slot")))
-        return (F.lit(spec.lo) + (done["slot"] + F.lit(0.5)) * F.lit(spec.step))
-
-    exact = small.select(*key_cols, "n", *[pick(p).alias(c) for p, c in zip(probs, names)], F.lit(0.0).alias("rank_error"), F.lit(spec.step / 2).alias("value_error"))
-    schema = T.StructType([*[rows.schema[k] for k in key_cols], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names], T.StructField("rank_error", T.DoubleType()), T.StructField("value_error", T.DoubleType())])
-
-    def invert(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, found, error = _invert(spec, pdf["level"].to_numpy(), pdf["slot"].to_numpy(), pdf["n"].to_numpy(), probs)
-        if n <= 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        return pd.DataFrame([[*key, n, *found, error, spec.step / 2]], columns=[f.name for f in schema.fields])
-
-    dense_keys = rows.groupBy(*key_cols).agg(F.max(F.col("level") != sparse_level).alias("__dense")).where("__dense").select(*key_cols)
-    dense = rows.alias("l").join(dense_keys.alias("r"), _same(key_cols), "left_semi").groupBy(*key_cols).applyInPandas(invert, schema)
-    out = exact.unionByName(dense)
-    return out if keys else out.drop("__one")
+        groups = groups.where(F.size("__code") > 0)
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names], T.StructField("rank_error", T.DoubleType()), T.StructField("value_error", T.DoubleType())])
+    low = (1 << 32) - 1
+
+    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            dense = pdf["__dense"].to_numpy(bool)
+            total, error = np.zeros(len(pdf), "int64"), np.zeros(len(pdf))
+            found = np.full((len(pdf), len(probs)), np.nan)
+            for i in np.flatnonzero(dense):
+                c, n = (np.asarray(pdf[k].iloc[i], "int64") for k in ("__code", "__n"))
+                total[i], found[i], error[i] = _invert(spec, c >> 32, c & low, n, probs)
+            at = np.flatnonzero(~dense)
+            if len(at):
+                size = np.array([len(x) for x in pdf["__code"].iloc[at]])
+                c, n = (np.concatenate([np.asarray(x, "int64") for x in pdf[k].iloc[at]]) for k in ("__code", "__n"))
+                group = np.repeat(np.arange(len(at)), size)
+                order = np.lexsort((c, group))
+                slot, run = (c & low)[order], np.cumsum(n[order])
+                ends = np.cumsum(size)
+                base = np.concatenate([[0], run[ends[:-1] - 1]])
+                total[at] = run[ends - 1] - base
+                for j, p in enumerate(probs):
+                    want = base + np.maximum(np.ceil(p * total[at] - 1e-9), 1).astype("int64")
+                    # runs only rise inside a group; deletions leave no negative count in a sound sketch
+                    hit = np.minimum(np.searchsorted(np.maximum.accumulate(run), want), ends - 1)
+                    found[at, j] = spec.decode(slot[hit])
+            out = pdf[keys].copy() if keys else pd.DataFrame(index=pdf.index)
+            out["n"] = total
+            for j, c in enumerate(names):
+                out[c] = found[:, j]
+            out["rank_error"], out["value_error"] = error, spec.step / 2
+            yield out[total > 0]
+
+    return groups.mapInPandas(invert, schema)
 
 
 def rank_of(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:

@@ -1,0 +1,71 @@
+"""Sketches against exact ranks: sparse, dense, merged, with deletions."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terraquery.operators import quantiles as Q
+
+PROBS = [0.01, 0.5, 0.9, 0.99]
+
+
+def data(n=20_000, seed=3):
+    rng = np.random.default_rng(seed)
+    v = np.where(rng.random(n) < 0.3, 300.0, rng.normal(380, 40, n))
+    return [(["a", "b", None][i % 3], int(i % 5), float(x)) for i, x in enumerate(v)]
+
+
+def worst(rows, values, spec):
+    """Largest distance of a found quantile's ranks from the wanted one, as a share."""
+    v, out = np.sort(values), 0.0
+    for p in PROBS:
+        q = rows[f"q{p:g}"]
+        lo, hi = np.searchsorted(v, q - spec.step, "left"), np.searchsorted(v, q + spec.step, "right")
+        want = p * len(v)
+        out = max(out, (lo - want) / len(v), (want - hi) / len(v))
+    return out
+
+
+@pytest.mark.parametrize("spec", [Q.SketchSpec(), Q.SketchSpec(sparse_limit=100)])
+def test_error_bound_and_merge(spark, spec):
+    rows = data()
+    df = spark.createDataFrame(rows, "g string, day int, v double")
+    daily = Q.sketch(df, ["g", "day"], "v", spec)
+    found = {r["g"]: r for r in Q.quantiles(Q.merge(daily, ["g"], spec), ["g"], PROBS, spec).collect()}
+    assert set(found) == {"a", "b", None}
+    for g, r in found.items():
+        values = [v for k, _, v in rows if k == g]
+        assert r["n"] == len(values)
+        assert worst(r, values, spec) <= r["rank_error"] + 1e-9
+        assert r["rank_error"] < 0.05 and (spec.sparse_limit > 1000) == (r["rank_error"] == 0)
+    direct = {r["g"]: r for r in Q.quantiles(Q.sketch(df, ["g"], "v", spec), ["g"], PROBS, spec).collect()}
+    assert direct == found  # adding up days gives the sketch of all rows
+    (total,) = Q.quantiles(Q.merge(daily, [], spec), [], PROBS, spec).collect()
+    assert total["n"] == len(rows) and worst(total, [v for *_, v in rows], spec) <= total["rank_error"] + 1e-9
+
+
+def test_deletions(spark):
+    spec = Q.SketchSpec(sparse_limit=100)
+    rows = [(v, 1) for _, _, v in data(6000)] + [(v, 1) for _, _, v in data(3000, 9)] + [(v, -1) for _, _, v in data(3000, 9)]
+    df = spark.createDataFrame(rows, "v double, w int")
+    (a,) = Q.quantiles(Q.sketch(df, [], "v", spec, "w"), [], PROBS, spec).collect()
+    (b,) = Q.quantiles(Q.sketch(df.limit(6000), [], "v", spec), [], PROBS, spec).collect()
+    assert a == b
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([("x", None), ("x", float("nan")), ("x", float("inf")), ("y", 1.0), ("y", 1e300), ("y", -1e300), ("y", 1.0)], "g string, v double")
+    got = {r["g"]: r for r in Q.quantiles(Q.sketch(df, ["g"], "v"), ["g"], [0.5]).collect()}
+    assert set(got) == {"y"} and got["y"]["n"] == 4 and abs(got["y"]["q0.5"] - 1.0) <= got["y"]["value_error"] * 2
+    empty = Q.sketch(df.where("false"), ["g"], "v")
+    assert Q.quantiles(empty, ["g"], [0.5]).count() == 0
+    assert Q.quantiles(Q.merge(empty, []), [], [0.5]).count() == 0
+
+
+def test_query_against_exact(spark, sf):
+    from terraquery import data_queries as D
+
+    exact = D._days(spark, sf).groupBy("sim_id", "day").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by t)").alias("m"))
+    got = D.p2_percentiles(spark, sf).where("scope = 'sim_day'")
+    both = exact.alias("e").join(got.alias("g"), F.expr("e.sim_id <=> g.sim_id and e.day <=> g.day"), "full")
+    assert both.where("e.n is null or g.n is null or e.n <> g.n or abs(m - p50) > value_error * 2").count() == 0
