@@ -287,7 +287,7 @@ QUERIES = {f.__name__: f for f in (
     parse_sensor, export_sensor_csv, export_sensor_json, export_raw_csv, selectivity_report)}
 QUERIES |= {f"{n}_{e}" if e != "unified" else n: partial(_sensor, name=n, engine=e) for n in _SENSOR for e in ("unified", "incremental") if e == "unified" or n in ("sensor_spatial", "sensor_bbox")}
 QUERIES |= {f"{n}_{e}": partial(_point, name=n, engine=e) for n in _POINT for e in E.ENGINES}
-QUERIES["sim_point_capped"] = partial(_point, name="sim_point", engine="unified", level=12, max_cells=1000)
+QUERIES["sim_point_capped"] = partial(_point, name="sim_point", engine="unified", level=12, max_cells=60_000)
 QUERIES |= {f"{n}_{e}": partial(_voxel, name=n, engine=e) for n in _VOXEL for e in E.ENGINES}
 QUERIES |= {f"sim_voxel_indexed_l{n}": partial(_voxel, name="sim_voxel", engine="unified", level=n, mode="indexed") for n in (4, 6, 8)}
 QUERIES |= {f"volume_bricks_{e}": partial(_volume_bricks, engine=e) for e in ("unified", "incremental")}
@@ -380,7 +380,7 @@ _CAPPED = f"""with {_POINT_V}, b as (select min(x) x_min, max(x) x_max, min(y) y
  c as (select {", ".join(f"min(({_index_of_point(a)}) >> 9) l{a}, max(({_index_of_point(a)}) >> 9) h{a}" for a in "xyz")} from q, b),
  p as (select point_v.*, {", ".join(f"({_index_of_point(a)}) >> 9 g{a}" for a in "xyz")} from point_v, b)
 select dk, sim_id, time_ms, x, y, z, t from p, c where sim_id='2' and {_TIME} and {_POINT_BOX} and gx between lx and hx and gy between ly and hy and gz between lz and hz
- and ((gx-lx)*(hy-ly+1)+(gy-ly))*(hz-lz+1)+(gz-lz) < 1000"""
+ and ((gx-lx)*(hy-ly+1)+(gy-ly))*(hz-lz+1)+(gz-lz) < 60000"""
 
 _IDX_B = "(select 4140000::double x_min, 4160000::double x_max, 640000::double y_min, 660000::double y_max, -3200::double z_min, 0::double z_max)"
 _SIMN = "regexp_replace(regexp_replace(sim_id,'^[\\x00-\\x20]+|[\\x00-\\x20]+$','','g'),'^([0-9]+)\\.0+$','\\1')"
