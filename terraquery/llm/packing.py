@@ -78,9 +78,10 @@ class ShardIndex:
 
     def scores(self, d: int) -> np.ndarray:
         """BM25 score of every document of the shard for document d as the query."""
-        at = np.searchsorted(self.terms, self.words[d])
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], self.words[d])]
+        if not len(self.terms):
+            return np.zeros(self.size)
+        at = np.minimum(np.searchsorted(self.terms, self.words[d]), len(self.terms) - 1)
+        at = at[self.terms[at] == self.words[d]]
         lo, hi = self.start[at], self.start[at + 1]
         n = hi - lo
         if not n.sum():

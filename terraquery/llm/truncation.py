@@ -9,17 +9,20 @@ multipart boundary, encoded block), and otherwise its last line.  Then
   tested against the hazards of its neighbours, with false-discovery control: these
   are the lengths at which a source cuts;
 * at a significant length a text is cut unless it ends whole by its structure, or
-  with a line break after a line that other whole texts end with, too;
+  with a line break after a last line that is whole;
 * at any other length a text is cut only if its ending is incomplete in itself.
 
-Which last lines are whole - names, greetings, signature lines, in any language - is
-learnt from the texts that end with a line break.
+A last line is whole if it ends as a sentence does, if it is a short remark of its own,
+or if other texts end with it, too: which names, greetings and signature lines, in any
+language, end a text is learnt from the texts that end with a line break.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import math
+import quopri
 import re
 from collections.abc import Iterator
 
@@ -34,11 +37,14 @@ _MARK = re.compile(r"\s*(?:(\[[^\[\]\n]{0,40}(?:clipped|truncated|cut off|shorte
 _QUOTE = re.compile(r"^\s*(?:[>|]\s?)+")
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"\n]+)"|([^\s;"]+))', re.I)
 _ENCODING = re.compile(r"^content-transfer-encoding:\s*([\w-]+)", re.I | re.M)
+_OCTET = re.compile(r"=[0-9A-F]{2}")
+_PART = re.compile(r"\s*(--[^\s]{4,70})\n(?:Content-[A-Za-z-]+:)", re.I)
 _HEADER = re.compile(r"^(?:From |[A-Za-z][A-Za-z0-9-]*:)")
 _ENDS = tuple(".!?。！？…)]}”»\"')）】」")
+_INITIAL = re.compile(r"^[-–—~]\s?[^\W\d_]{1,3}$")
 _NAME = re.compile(r"^(?:[^\W\d_][^\s\d]*)(?: [^\W\d_][^\s\d]*){0,2}$")
 
-FEATURES = "core_chars int, core_bytes int, text_hash long, proof string, terminated boolean, marked boolean, ends_well boolean, line_key string, mask_key string, before_key string, named boolean"
+FEATURES = "core_chars int, core_bytes int, text_hash long, proof string, terminated boolean, marked boolean, ends_well boolean, line_key string, mask_key string, before_key string, named boolean, remark boolean"
 
 
 def _keyed(line: str) -> str:
@@ -54,6 +60,17 @@ def _mask(key: str) -> str:
     return label + sep + re.sub(r"[^\W\d_a-z][^\W\d_]+", "A", rest) if sep and len(label) <= 30 else ""
 
 
+def _repaired(line: str) -> str:
+    """A line whose UTF-8 was taken for a one-byte code, as it should read."""
+    if not line.isascii():
+        for code in ("latin-1", "cp1252"):
+            try:
+                return line.encode(code).decode("utf-8")
+            except UnicodeError:
+                continue
+    return line
+
+
 def _rereads(tail: str) -> list[str]:
     """The tail as it is and as it reads where UTF-8 was taken for a one-byte code."""
     out = [tail]
@@ -83,13 +100,13 @@ def ending(text: str | None) -> tuple | None:
     if not _QUOTE.match(last[last.rfind("\n") + 1:]) and (m := _MARK.search(core, max(0, len(core) - 100))):
         hard = m.group(1) is not None
         marked, whole_line = True, last[last.rfind("\n") + 1:]
-        before_mark, core = core, core[: m.start()]
+        marked_text, core = core, core[: m.start()]
     size = (len(core), len(core.encode("utf-8", "surrogatepass")))
     digest = hash_text(core)
 
     def shown(proof: str, **x) -> tuple:
-        d = {"terminated": False, "ends_well": False, "line_key": None, "mask_key": None, "before_key": None, "named": False} | x
-        return (*size, digest, proof, d["terminated"], marked, d["ends_well"], d["line_key"], d["mask_key"], d["before_key"], d["named"])
+        d = {"terminated": False, "ends_well": False, "line_key": None, "mask_key": None, "before_key": None, "named": False, "remark": False} | x
+        return (*size, digest, proof, d["terminated"], marked, d["ends_well"], d["line_key"], d["mask_key"], d["before_key"], d["named"], d["remark"])
 
     head, sep, body = core.partition("\n\n")
     if not sep and "\r\n\r\n" in core:
@@ -97,8 +114,10 @@ def ending(text: str | None) -> tuple | None:
     if _HEADER.match(head):
         if not sep:
             return shown("cut")
-        if b := _BOUNDARY.search(head):
-            mark = "--" + (b.group(1) or b.group(2))
+        b = _BOUNDARY.search(head)
+        first = _PART.match(body)  # a multipart body whose header was lost
+        if b or first:
+            mark = "--" + (b.group(1) or b.group(2)) if b else first.group(1)
             if re.search(r"(?m)^" + re.escape(mark) + r"--\s*$", body):
                 return shown("whole")
             return shown("cut")
@@ -111,8 +130,12 @@ def ending(text: str | None) -> tuple | None:
                 body = base64.b64decode(data, validate=True).decode("utf-8")
             except (binascii.Error, UnicodeError):
                 return shown("cut" if not data.endswith("=") else "whole")
-        elif how == "quoted-printable" and re.search(r"=[0-9A-Fa-f]?\s*$", body):
+        encoded = how == "quoted-printable" or not how and "=\n" in body and len(_OCTET.findall(body)) > 2
+        if encoded and re.search(r"=[0-9A-Fa-f]?\s*$", body):
             return shown("cut")
+        if encoded:
+            raw = quopri.decodestring(body.encode("utf-8", "surrogatepass"))
+            body = raw.decode("utf-8", "replace")
     else:
         body = core
     if hard:
@@ -120,20 +143,24 @@ def ending(text: str | None) -> tuple | None:
     lines = body.rstrip().split("\n")
     line, before = lines[-1], next((x for x in reversed(lines[:-1]) if _QUOTE.sub("", x).strip()), "")
     if marked:  # dots: perhaps the writer's own
-        line, terminated = whole_line, before_mark.endswith("\n")
+        line, terminated = whole_line, marked_text.endswith("\n")
     else:
         terminated = core.endswith("\n")
+    line, before = _repaired(line), _repaired(before)
     key = _keyed(line)
     plain = _QUOTE.sub("", line).strip()
     named = bool(_NAME.match(plain)) and all(map(_capital, plain.split())) and len(plain) <= 40
     if named:
         rest = core[: len(core) - len(line)].lower()
         named = all(re.search(r"(?<!\w)" + re.escape(w.lower()) + r"(?!\w)", rest) for w in plain.split())
+    # a short line of its own, in lower case as no sentence begins, or initials behind a dash
+    alone = len(lines) < 2 or not _QUOTE.sub("", lines[-2]).strip()
+    remark = alone and (plain[:1].islower() and len(plain) <= 40 and "://" not in plain or _INITIAL.match(plain) is not None)
     tail = plain[-40:]
     well = not plain or (not marked and any(t.rstrip().endswith(_ENDS) for t in _rereads(tail)) and not re.search(r"(?:^|\s)\d+\.$", tail))
     if core[-1:].isspace() and not core.endswith("\n"):
         well = not plain  # a line that goes on behind a blank
-    return shown("open", terminated=terminated, ends_well=well, line_key=key, mask_key=_mask(key) or None, before_key=_keyed(before), named=named)
+    return shown("open", terminated=terminated, ends_well=well, line_key=key, mask_key=_mask(key) or None, before_key=_keyed(before), named=named, remark=remark)
 
 
 def hash_text(text: str) -> int:
@@ -188,12 +215,18 @@ def cut_lengths(ends: DataFrame, window: int = 64, fdr: float = 0.01, least: int
     return found.select("source", "unit", "length", "n", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected", "p")
 
 
-def flag_truncated(ends: DataFrame, lengths: DataFrame, seen: int = 1) -> DataFrame:
+#: Share of all texts that must end with a line for it to be known as a last line.
+KNOWN_SHARE = 2e-5
+
+
+def flag_truncated(ends: DataFrame, lengths: DataFrame, share: float = KNOWN_SHARE) -> DataFrame:
     """``doc_id, source, truncated, why`` for each row of ``endings``.
 
-    ``why`` is structure, limit or ending, null for a whole text.  Lines that whole
-    texts end with are those that at least ``seen`` texts end with before a line break.
+    ``why`` is structure, limit or ending, null for a whole text.  A known last line is
+    one that at least two texts, and ``share`` of all, end with before a line break; a
+    text cut there and closed by a line break does not make its own fragment known.
     """
+    seen = max(2, math.ceil(share * ends.count()))
     is_open = F.col("proof") == "open"
     model = ends.where(is_open & F.col("terminated") & F.col("line_key").isNotNull())
     lines_ = model.select(F.lit("line").alias("kind"), F.col("line_key").alias("key"))
@@ -213,8 +246,8 @@ def flag_truncated(ends: DataFrame, lengths: DataFrame, seen: int = 1) -> DataFr
         df = df.join(side, ["source", f"core_{unit}"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     at_limit = yes("at_chars") | yes("at_bytes")
-    known_line = yes("has_line") | yes("has_mask") | (yes("has_before") & F.col("named"))
-    whole_end = F.when(at_limit, F.col("terminated") & (F.col("ends_well") | known_line)).otherwise(F.col("terminated") | F.col("ends_well") | known_line)
+    whole_line = F.col("ends_well") | F.col("remark") | yes("has_line") | yes("has_mask") | (yes("has_before") & F.col("named"))
+    whole_end = whole_line & (F.col("terminated") | ~at_limit)
     why = F.when(F.col("proof") == "cut", "structure").when(is_open & ~whole_end, F.when(at_limit, "limit").otherwise("ending"))
     return df.select("doc_id", "source", why.isNotNull().alias("truncated"), why.alias("why"))
 
