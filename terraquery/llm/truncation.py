@@ -8,8 +8,8 @@ multipart boundary, encoded block), and otherwise its last line.  Then
   computed per source by window functions, in characters and in bytes, and each is
   tested against the hazards of its neighbours, with false-discovery control: these
   are the lengths at which a source cuts;
-* at a significant length a text is cut unless it ends whole by its structure, or
-  with a line break after a last line that is whole;
+* at a significant length a text is cut unless its structure proves it whole: a source
+  has at most a tenth as many texts of that very length by chance;
 * at any other length a text is cut only if its ending is incomplete in itself.
 
 A last line is whole if it ends as a sentence does, if it is a short remark of its own,
@@ -247,7 +247,8 @@ def flag_truncated(ends: DataFrame, lengths: DataFrame, share: float = KNOWN_SHA
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     at_limit = yes("at_chars") | yes("at_bytes")
     whole_line = F.col("ends_well") | F.col("remark") | yes("has_line") | yes("has_mask") | (yes("has_before") & F.col("named"))
-    whole_end = whole_line & (F.col("terminated") | ~at_limit)
+    # at a limit the odds are with a cut, however the text ends
+    whole_end = whole_line & ~at_limit
     why = F.when(F.col("proof") == "cut", "structure").when(is_open & ~whole_end, F.when(at_limit, "limit").otherwise("ending"))
     return df.select("doc_id", "source", why.isNotNull().alias("truncated"), why.alias("why"))
 
