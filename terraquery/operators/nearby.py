@@ -84,7 +84,7 @@ class Slabs:
     """
 
     def __init__(self, regions: Sequence[tuple[str, Sequence[float], Sequence[float], float, float]]):
-        self.rings, edges = [], []
+        self.rings, edges, upright = [], [], []
         for name, xs, ys, z_lo, z_hi in regions:
             if name is None or xs is None or ys is None or z_lo is None or z_hi is None:
                 continue
@@ -98,15 +98,25 @@ class Slabs:
             for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
                 if x0 != x1:
                     edges.append((x0, y0, x1, y1, r) if x0 < x1 else (x1, y1, x0, y0, r))
+                else:
+                    upright.append((x0, r))
         self.eps = 4 * np.spacing(max([1.0, *(np.abs(ring).max() for _, ring, _, _ in self.rings)]))
         e = np.array(edges, "float64").reshape(-1, 5)
-        self.cuts = self._cuts(e)
+        self.cuts = np.unique(np.concatenate([self._cuts(e), np.array([x for x, _ in upright], "float64")]))
+        at_cut: list[set[int]] = [set() for _ in self.cuts]
+        for x, r in upright:
+            at_cut[int(np.searchsorted(self.cuts, x))].add(r)
+        self.upright_offs = np.cumsum([0, *map(len, at_cut)])
+        self.upright = np.array([r for rs in at_cut for r in sorted(rs)], "int64")
+        # a point beside a vertex by eps in x is beside the edge by its slope times eps in y
+        slope = np.abs((e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0])).max() if len(e) else 0.0
+        self.reach = self.eps * (2 + slope)
         offs, flat, cover_offs, cover = [0], [], [0], []
         for lo, hi in zip(self.cuts[:-1], self.cuts[1:]):
             here = e[(e[:, 0] <= lo) & (e[:, 2] >= hi)]
             mid = (lo + hi) / 2
             here = here[np.argsort(here[:, 1] + (mid - here[:, 0]) / (here[:, 2] - here[:, 0]) * (here[:, 3] - here[:, 1]), kind="stable")]
-            flat.append(here[:, :4])
+            flat.append(here)
             offs.append(offs[-1] + len(here))
             inside: set[int] = set()
             for r in [None, *here[:, 4].astype(int)]:  # the trapezoid below the first edge is outside of all
@@ -115,7 +125,7 @@ class Slabs:
                 cover.extend(sorted(inside))
                 cover_offs.append(len(cover))
         self.offs = np.array(offs, "int64")
-        self.edges = np.concatenate(flat) if flat else np.zeros((0, 4))
+        self.edges = np.concatenate(flat) if flat else np.zeros((0, 5))
         self.cover_offs, self.cover = np.array(cover_offs, "int64"), np.array(cover, "int64")
 
     @staticmethod
@@ -153,14 +163,24 @@ class Slabs:
         if not len(self.cuts) or not len(x):
             return np.zeros(0, "int64"), []
         hits = []
+
+        def add(rows: np.ndarray, first: np.ndarray, n: np.ndarray, of: np.ndarray) -> None:
+            """Candidates of[first : first + n] of each row."""
+            at = np.repeat(np.arange(len(rows)), n)
+            hits.append(np.stack([rows[at], of[first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]], 1))
+
+        region = self.edges[:, 4].astype("int64")
         for dx in (-self.eps, self.eps):
-            for dy in (-self.eps, self.eps):
-                t = self._trapezoids(x + dx, y + dy)
-                rows = np.flatnonzero(t >= 0)
-                n = self.cover_offs[t[rows] + 1] - self.cover_offs[t[rows]]
-                at = np.repeat(rows, n)
-                first = np.repeat(self.cover_offs[t[rows]] - np.cumsum(n) + n, n)
-                hits.append(np.stack([at, self.cover[first + np.arange(len(at))]], 1))
+            below, above = (self._trapezoids(x + dx, y + dy) for dy in (-self.reach, self.reach))
+            rows = np.flatnonzero(below >= 0)
+            for t in (below[rows], above[rows]):
+                add(rows, self.cover_offs[t], self.cover_offs[t + 1] - self.cover_offs[t], self.cover)
+            # the edges that pass within reach of the point: it may lie on one that bounds nothing
+            slab = np.searchsorted(self.cuts, x[rows] + dx, "right") - 1
+            add(rows, below[rows] - slab, above[rows] - below[rows], region)
+        cut = np.searchsorted(self.cuts, x - self.eps)
+        rows = np.flatnonzero((cut < len(self.cuts)) & (self.cuts[np.minimum(cut, len(self.cuts) - 1)] <= x + self.eps))
+        add(rows, self.upright_offs[cut[rows]], self.upright_offs[cut[rows] + 1] - self.upright_offs[cut[rows]], self.upright)
         cand = np.unique(np.concatenate(hits), axis=0)
         keep_rows, names = [], []
         for r in np.unique(cand[:, 1]):
@@ -203,7 +223,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, key: str, xyz: Seq
 
     def located(slabs: Slabs, pdf: pd.DataFrame) -> pd.DataFrame:
         at, names = slabs.locate(*(pdf[c].to_numpy("float64") for c in "xyz"))
-        return pd.DataFrame({key: pdf["k"].to_numpy()[at], "region_id": names})
+        return pd.DataFrame({key: pdf["k"].to_numpy(object)[at], "region_id": np.array(names, object)}, dtype=object)
 
     if edges <= broadcast_edges:
         slabs = points.sparkSession.sparkContext.broadcast(Slabs([tuple(r) for r in prisms.collect()]))
@@ -228,7 +248,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, key: str, xyz: Seq
 
     def meet(pts: pd.DataFrame, regs: pd.DataFrame) -> pd.DataFrame:
         if pts.empty or regs.empty:
-            return pd.DataFrame({key: [], "region_id": []})
+            return pd.DataFrame({key: [], "region_id": []}, dtype=object)
         return located(Slabs(list(regs[["region_id", "ring_x", "ring_y", "z_min", "z_max"]].itertuples(index=False, name=None))), pts)
 
     return striped.groupBy("stripe", "salt").cogroup(placed.groupBy("stripe", "salt")).applyInPandas(meet, schema).distinct()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraquery.session import written
+from terraquery.session import plain, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,7 +135,7 @@ def compact(rows: DataFrame, keys: Sequence[str], spec: SketchSpec = SketchSpec(
                 for k in keys:
                     first = part[k].iloc[0]
                     out[k] = pd.Series([None if pd.isna(first) else first] * len(out), dtype=object if pd.isna(first) else part[k].dtype)
-                yield out[[f.name for f in schema.fields]]
+                yield plain(out[[f.name for f in schema.fields]].copy())
 
     # the codes of a group come to a few tasks in sorted runs, so that a batch holds few groups
     todo = tagged.where(sparse & F.col("__large")).select(*cols).repartition(*[F.col(k) for k in keys], F.pmod(F.col("slot"), F.lit(4)))
@@ -255,7 +255,7 @@ def quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], spec
             for j, c in enumerate(names):
                 out[c] = found[:, j]
             out["rank_error"], out["value_error"] = error, spec.step / 2
-            yield out[total > 0]
+            yield plain(out[total > 0].copy())
 
     return groups.mapInPandas(invert, schema)
 

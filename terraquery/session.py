@@ -52,3 +52,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def plain(pdf):
+    """A pandas frame whose text columns are plain objects.
+
+    Arrow-backed text without a chunk, as an empty selection has, can't be sent back.
+    """
+    for c in pdf.columns:
+        if str(pdf[c].dtype) in ("str", "string"):
+            pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
+    return pdf
