@@ -178,9 +178,10 @@ class Slabs:
             # the edges that pass within reach of the point: it may lie on one that bounds nothing
             slab = np.searchsorted(self.cuts, x[rows] + dx, "right") - 1
             add(rows, below[rows] - slab, above[rows] - below[rows], region)
-        cut = np.searchsorted(self.cuts, x - self.eps)
-        rows = np.flatnonzero((cut < len(self.cuts)) & (self.cuts[np.minimum(cut, len(self.cuts) - 1)] <= x + self.eps))
-        add(rows, self.upright_offs[cut[rows]], self.upright_offs[cut[rows] + 1] - self.upright_offs[cut[rows]], self.upright)
+        # several cuts may lie within reach of a point
+        lo, hi = np.searchsorted(self.cuts, x - self.eps), np.searchsorted(self.cuts, x + self.eps, "right")
+        rows = np.flatnonzero(hi > lo)
+        add(rows, self.upright_offs[lo[rows]], self.upright_offs[hi[rows]] - self.upright_offs[lo[rows]], self.upright)
         cand = np.unique(np.concatenate(hits), axis=0)
         keep_rows, names = [], []
         for r in np.unique(cand[:, 1]):
