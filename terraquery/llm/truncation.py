@@ -48,10 +48,15 @@ FEATURES = "core_chars int, core_bytes int, text_hash long, proof string, termin
 
 
 def _keyed(line: str) -> str:
-    """A last line for comparison: without quoting marks, digits and mail names."""
+    """A whole last line for comparison: without quoting marks, digits and mail names."""
     t = _QUOTE.sub("", line).strip()
     t = re.sub(r"[\w.+-]+@", "@", t)
-    return re.sub(r"\d+", "9", t)[:200]
+    return re.sub(r"\d+", "9", t)
+
+
+def _short(key: str) -> str:
+    """A key as it is stored: beyond 200 characters its beginning, length and hash."""
+    return key if len(key) <= 200 else f"{key[:160]} #{len(key)} {hash_text(key)}"
 
 
 def _mask(key: str) -> str:
@@ -160,7 +165,7 @@ def ending(text: str | None) -> tuple | None:
     well = not plain or (not marked and any(t.rstrip().endswith(_ENDS) for t in _rereads(tail)) and not re.search(r"(?:^|\s)\d+\.$", tail))
     if core[-1:].isspace() and not core.endswith("\n"):
         well = not plain  # a line that goes on behind a blank
-    return shown("open", terminated=terminated, ends_well=well, line_key=key, mask_key=_mask(key) or None, before_key=_keyed(before), named=named, remark=remark)
+    return shown("open", terminated=terminated, ends_well=well, line_key=_short(key), mask_key=_short(_mask(key)) or None, before_key=_short(_keyed(before)), named=named, remark=remark)
 
 
 def hash_text(text: str) -> int:

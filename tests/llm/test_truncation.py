@@ -70,6 +70,14 @@ def test_copies_make_no_limit(spark):
     assert T.cut_lengths(T.endings(docs)).count() == 0
 
 
+@pytest.mark.parametrize("label", ["", "Note: "])
+def test_long_last_line_cut_inside(spark, label):
+    line = (label + "this message is meant for its readers and no one else " * 8)[:399] + "."
+    rows = [(i, f"{HEAD}The report is {'long ' * i}done.\n\n{line}\n") for i in range(6)] + [(6, f"{HEAD}Report of the pump.\n\n{line[:300]}"), (7, f"{HEAD}Report of the valve.\n\n{line[:260]}\n")]
+    ends = T.endings(spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, source string"))
+    assert {r["doc_id"] for r in T.flag_truncated(ends, T.cut_lengths(ends)).where("truncated").collect()} == {6, 7}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     ends = T.endings(docs)
