@@ -44,7 +44,7 @@ _ENDS = tuple(".!?。！？…)]}”»\"')）】」")
 _INITIAL = re.compile(r"^[-–—~]\s?[^\W\d_]{1,3}$")
 _NAME = re.compile(r"^(?:[^\W\d_][^\s\d]*)(?: [^\W\d_][^\s\d]*){0,2}$")
 
-FEATURES = "core_chars int, core_bytes int, text_hash long, proof string, terminated boolean, marked boolean, ends_well boolean, line_key string, mask_key string, before_key string, named boolean, remark boolean"
+FEATURES = "core_chars int, core_bytes int, text_hash long, proof string, terminated boolean, marked boolean, ends_well boolean, line_key string, mask_key string, before_key string, named boolean, remark boolean, body_hash long"
 
 
 def _keyed(line: str) -> str:
@@ -110,8 +110,8 @@ def ending(text: str | None) -> tuple | None:
     digest = hash_text(core)
 
     def shown(proof: str, **x) -> tuple:
-        d = {"terminated": False, "ends_well": False, "line_key": None, "mask_key": None, "before_key": None, "named": False, "remark": False} | x
-        return (*size, digest, proof, d["terminated"], marked, d["ends_well"], d["line_key"], d["mask_key"], d["before_key"], d["named"], d["remark"])
+        d = {"body_hash": digest, "terminated": False, "ends_well": False, "line_key": None, "mask_key": None, "before_key": None, "named": False, "remark": False} | x
+        return (*size, digest, proof, d["terminated"], marked, d["ends_well"], d["line_key"], d["mask_key"], d["before_key"], d["named"], d["remark"], d["body_hash"])
 
     head, sep, body = core.partition("\n\n")
     if not sep and "\r\n\r\n" in core:
@@ -165,7 +165,14 @@ def ending(text: str | None) -> tuple | None:
     well = not plain or (not marked and any(t.rstrip().endswith(_ENDS) for t in _rereads(tail)) and not re.search(r"(?:^|\s)\d+\.$", tail))
     if core[-1:].isspace() and not core.endswith("\n"):
         well = not plain  # a line that goes on behind a blank
-    return shown("open", terminated=terminated, ends_well=well, line_key=_short(key), mask_key=_short(_mask(key)) or None, before_key=_short(_keyed(before)), named=named, remark=remark)
+    return shown("open", body_hash=_body_hash(body), terminated=terminated, ends_well=well, line_key=_short(key), mask_key=_short(_mask(key)) or None, before_key=_short(_keyed(before)), named=named, remark=remark)
+
+
+def _body_hash(body: str) -> int:
+    """Hash of a text without its headers, the same for copies that differ in blanks or decoding."""
+    if not body.isascii():
+        body = "\n".join(map(_repaired, body.split("\n")))
+    return hash_text(" ".join(body.split()))
 
 
 def hash_text(text: str) -> int:
@@ -228,16 +235,17 @@ def flag_truncated(ends: DataFrame, lengths: DataFrame, share: float = KNOWN_SHA
     """``doc_id, source, truncated, why`` for each row of ``endings``.
 
     ``why`` is structure, limit or ending, null for a whole text.  A known last line is
-    one that at least two texts, and ``share`` of all, end with before a line break; a
-    text cut there and closed by a line break does not make its own fragment known.
+    one that at least two different texts, and ``share`` of all, end with before a line
+    break, headers aside; a text cut there and closed by a line break does not make its
+    own fragment known, however many copies of it there are.
     """
-    seen = max(2, math.ceil(share * ends.count()))
+    seen = max(2, math.ceil(share * ends.select("body_hash").distinct().count()))
     is_open = F.col("proof") == "open"
     model = ends.where(is_open & F.col("terminated") & F.col("line_key").isNotNull())
-    lines_ = model.select(F.lit("line").alias("kind"), F.col("line_key").alias("key"))
-    masks = model.where("mask_key is not null").select(F.lit("mask").alias("kind"), F.col("mask_key").alias("key"))
-    before = model.where("named").select(F.lit("before").alias("kind"), F.col("before_key").alias("key"))
-    known = lines_.unionByName(masks).unionByName(before).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= seen)
+    lines_ = model.select(F.lit("line").alias("kind"), F.col("line_key").alias("key"), "body_hash")
+    masks = model.where("mask_key is not null").select(F.lit("mask").alias("kind"), F.col("mask_key").alias("key"), "body_hash")
+    before = model.where("named").select(F.lit("before").alias("kind"), F.col("before_key").alias("key"), "body_hash")
+    known = lines_.unionByName(masks).unionByName(before).distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= seen)
 
     def having(df: DataFrame, kind: str, col: str) -> DataFrame:
         side = known.where(F.col("kind") == kind).select(F.col("key").alias(col), F.lit(True).alias(f"has_{kind}"))

@@ -78,6 +78,15 @@ def test_long_last_line_cut_inside(spark, label):
     assert {r["doc_id"] for r in T.flag_truncated(ends, T.cut_lengths(ends)).where("truncated").collect()} == {6, 7}
 
 
+@pytest.mark.parametrize("end", ["and then the pump wi", "Pump: 12 Valves wi", "Note: Ada goes wi"])
+def test_copies_of_a_cut_text_make_no_known_line(spark, end):
+    text = "Here is the report.\n\n" + "\u00fcber den Stand. " * 20 + "\n" + end + "\n"
+    copies = [(i, f"Message-ID: <{'x' * i}{i}@b.example>\n{HEAD}{text if i % 2 else text.encode().decode('latin-1')}") for i in range(4)]
+    others = [(10 + i, f"{HEAD}{'A long line. ' * (i + 1)}\n\nyours in haste as ever, from the works of Ada\n") for i in range(8)]
+    ends = T.endings(spark.createDataFrame([(*r, "a") for r in copies + others], "doc_id long, text string, source string"))
+    assert {r["doc_id"] for r in T.flag_truncated(ends, T.cut_lengths(ends)).where("truncated").collect()} == {0, 1, 2, 3}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     ends = T.endings(docs)
