@@ -156,6 +156,14 @@ def boxes_batch(spark: SparkSession, sf: str) -> DataFrame:
     return E.in_boxes(S.points(spark, sf), p, 50.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("points"))
 
 
+def boxes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in one box per part, of all parts; the offsets wrap inside the extent of the points."""
+    p = S.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("box_id"), *[F.expr(e).cast("double").alias(n) for n, e in (
+            ("x0", "4144000 + p_partkey * 9 % 980"), ("y0", "647000 + p_partkey * 8 % 970"), ("z0", "-2700"), ("x1", "4144020 + p_partkey * 9 % 980"), ("y1", "647030 + p_partkey * 8 % 970"), ("z1", "-2500"))])
+    return E.in_boxes(S.points(spark, sf), p, 25.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("points"))
+
+
 # --- VOXEL
 
 _VOXEL = {"sim_voxel": {"sim_id": "2/3"}, "sim_voxel_temp": {"temp": TEMP}, "sim_voxel_vel": {"vel": VOXEL_VEL}}
@@ -282,7 +290,7 @@ def selectivity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     z3d_encode, block_id_level, curve_code, fnv1a_hash, day_bucket, days_of_tasks, temp_bucket, vel_bucket, unified_key, point_index_entries, z_ranges,
-    point_bounds, point_query_stats, keys_intersect, keys_union, bucket_cell_tasks, boxes_batch, voxel_cells, voxel_grid, brick_versions, brick_lookup,
+    point_bounds, point_query_stats, keys_intersect, keys_union, bucket_cell_tasks, boxes_batch, boxes_all, voxel_cells, voxel_grid, brick_versions, brick_lookup,
     volume_tile, volume_cells, volume_coverage, volume_mask, volume_mask_cells, volume_export, volume_types, brick_meta,
     parse_sensor, export_sensor_csv, export_sensor_json, export_raw_csv, selectivity_report)}
 QUERIES |= {f"{n}_{e}" if e != "unified" else n: partial(_sensor, name=n, engine=e) for n in _SENSOR for e in ("unified", "incremental") if e == "unified" or n in ("sensor_spatial", "sensor_bbox")}
@@ -418,6 +426,7 @@ select row_key, time_millis, (case when sim_id is null then null when sim_id=''
     "bucket_cell_tasks": f"select bucket::int bucket, z_cell from (select unnest(range(150,176)) bucket), (select {_morton('gx', 'gy', 'gz')} z_cell from " + ", ".join(
         f"(select unnest(range({lo >> 12},{(hi >> 12) + 1})) << 12 g{a})" for a, lo, hi in zip("xyz", *R.world_box((114.0, 23.2, 200), (114.2, 23.3, 220)))) + ")",
     "boxes_batch": f"with {_POINT_V} select p_partkey box_id, count(*) points from part, point_v where p_partkey<=100 and x between 4144000+p_partkey*9 and 4144020+p_partkey*9 and y between 647000+p_partkey*8 and 647030+p_partkey*8 and z between -2700 and -2500 group by 1",
+    "boxes_all": f"with {_POINT_V} select p_partkey box_id, count(*) points from part, point_v where x between 4144000+p_partkey*9%980 and 4144020+p_partkey*9%980 and y between 647000+p_partkey*8%970 and 647030+p_partkey*8%970 and z between -2700 and -2500 group by 1",
     "voxel_cells": f"with {_VOXEL_V} select brick_key, {_morton('((i+8)//16)', '((j+8)//16)', '((k+4)//8)')} cell_4, {_morton('(i+8)', '(j+8)', '(k+4)')} cell_8 from voxel_v",
     "voxel_grid": f"with {_VOXEL_V} select 10::double dx, 10::double dy, 5::double dz, greatest(-min(i),0) bi, greatest(-min(j),0) bj, greatest(-min(k),0) bk, count(*) n, 0::bigint mismatched from voxel_v",
     "brick_versions": f"with d as (select {_KEYN.format(c='row_key')} \"key\", * from volume_brick_data), r as (select *, row_number() over (partition by \"key\" order by written_at desc, coalesce(t,-1e9) desc, vx desc, vy desc, vz desc) rn from d) select \"key\", written_at, t, vx from r where rn=1",

@@ -172,3 +172,16 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "facts")).count() == 1 and spark.read.parquet(str(tmp_path / "fail")).first()["reason"] == "columns"
     stream = spark.readStream.schema("sim_id string, time_millis long, t double").parquet(src)
     assert stream.isStreaming and ingest.windowed_counts(stream).isStreaming
+
+
+def test_boxes_of_all_parts(spark, sf):
+    from terraquery.engine_queries import boxes_all
+    from terraquery.sources import views
+
+    pts = views.points(spark, sf).select("x", "y", "z").toPandas()
+    want = {}
+    for (p,) in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect():
+        x, y = 4144000 + p * 9 % 980, 647000 + p * 8 % 970
+        if n := int((pts["x"].between(x, x + 20) & pts["y"].between(y, y + 30) & pts["z"].between(-2700, -2500)).sum()):
+            want[p] = n
+    assert max(want) > 111 and {r["box_id"]: r["points"] for r in boxes_all(spark, sf).collect()} == want
