@@ -35,10 +35,11 @@ def orphans(refs: DataFrame, parents: DataFrame, key: Sequence[str], match: str
     * ``partial``: the non-null columns must match some parent; all null refers to nothing.
     * ``full``: all null refers to nothing; some but not all null is an orphan.
 
-    ``nullable`` names the key columns that can be null at all (default: all); the
-    number of masks, and so of joins under ``partial``, is 2 to its size.  Parents
-    with a null in a compared column match no one.  References that occur several
-    times come out as often.
+    ``nullable`` names the key columns expected to be null (default: all); the number
+    of masks, and so of joins under ``partial``, is 2 to its size.  Given it, masks
+    outside it are looked up by one small aggregation, and those that occur are joined,
+    too.  Parents with a null in a compared column match no one.  References that occur
+    several times come out as often.
     """
     if match not in MATCH:
         raise ValueError(f"match must be one of {MATCH}")
@@ -51,11 +52,11 @@ def orphans(refs: DataFrame, parents: DataFrame, key: Sequence[str], match: str
         return found
     if match == "full":
         return found.unionByName(refs.where((F.col("null_mask") > 0) & (F.col("null_mask") < whole)))
-    may = [i for i, c in enumerate(key) if nullable is None or c in nullable]
-    for bits in range(1, 1 << len(may)):
-        m = sum(1 << i for j, i in enumerate(may) if bits >> j & 1)
-        if m == whole:
-            continue
+    may = sum(1 << i for i, c in enumerate(key) if nullable is None or c in nullable)
+    masks = {m for m in range(1, whole) if not m & ~may}
+    if may != whole:
+        masks |= {r["null_mask"] for r in refs.where(F.col("null_mask").bitwiseAND(F.lit(whole & ~may)) != 0).select("null_mask").distinct().collect()} - {whole}
+    for m in sorted(masks):
         on = [c for i, c in enumerate(key) if not m >> i & 1]
         found = found.unionByName(refs.where(F.col("null_mask") == m).join(parents.select(*on), on, "left_anti").select(*refs.columns))
     return found

@@ -35,6 +35,13 @@ def test_masks(spark, match):
     assert R.orphans(r.where("id = 13"), d.where("false"), ["p", "q", "s"], match).count() == 2
 
 
+def test_masks_outside_nullable(spark):
+    refs = spark.createDataFrame([(0, "a", "a", None), (1, "a", "x", None), (2, None, "x", "a"), (3, None, "a", "a"), (4, "x", None, None), (5, None, None, None)], "id int, p string, q string, s string")
+    live = spark.createDataFrame([("a", "a", "a")], "p string, q string, s string")
+    got = R.orphans(refs, live, ["p", "q", "s"], "partial", nullable=["s"])
+    assert {(r["id"], r["null_mask"]) for r in got.collect()} == {(1, 4), (2, 1), (4, 6)}
+
+
 def test_live(spark):
     rows = spark.createDataFrame([("a", T[0]), ("b", T[0]), ("b", T[5]), ("c", T[0]), ("d", None), ("e", None), ("f", T[3])], "k string, w timestamp_ntz")
     dels = spark.createDataFrame([("b", T[2]), ("b", T[2]), ("c", T[2]), ("e", T[1]), ("f", T[3]), ("g", T[1]), ("a", None)], "k string, d timestamp_ntz")
