@@ -5,14 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquery.llm import mixing, packing, tokens, truncation
+from terraquery.functions.keys import point_sim_id
+from terraquery.llm import mixing, packing, quantiles, tokens, truncation
 from terraquery.session import written
 
+NODATA = -9999.0
+
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+# 2 - percentiles of very large numeric columns
+
+PROBS = {"p01": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+SCOPES = {"sim": ["sim_id"], "sim_day": ["sim_id", "day"], "day": ["day"], "all": []}
+
+
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("t")
+    good = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < F.lit(float("inf"))) & (t != NODATA)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("time_millis") / 86400000).cast("int"))
+    return spark.read.parquet(f"{sf}/geosim_point_data.parquet").where(good).select(point_sim_id(F.col("sim_id")).alias("sim_id"), day.alias("day"), "t")
+
+
+def daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of t per normalised sim_id and UTC day: the rows to keep and combine."""
+    return quantiles.sketch(_days(spark, sf), ["sim_id", "day"], "t")
+
+
+def _percentiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return quantiles.quantiles(rows, keys, list(PROBS.values()), names=list(PROBS))
+
+
+def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles per sim_id over all days, per sim_id and day, per day, and of everything."""
+    return _percentiles(quantiles.sketch(_days(spark, sf), ["sim_id", "day"], "t", scopes=SCOPES), ["scope", "sim_id", "day"])
+
+
+def p2_span(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of a quarter, combined from the kept sketches of its single days."""
+    days = written(daily_sketches(spark, sf)).where("day between date'2024-05-01' and date'2024-07-31'")
+    return _percentiles(quantiles.merge(days, ["sim_id"]), ["sim_id"])
+
+
+def p2_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles per sim_id and day, of the groups that have no rank error."""
+    return _percentiles(daily_sketches(spark, sf), ["sim_id", "day"]).where("rank_error = 0").drop("rank_error")
+
+
 # 6 - filling fixed-capacity containers
 
 
@@ -65,5 +106,15 @@ def p8_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_lengths(written(truncation.endings(_docs(spark, sf))))
 
 
-QUERIES = {f.__name__: f for f in (p6_packing, p6_containers, p7_mixture, p7_shares, p8_found, p8_rates, p8_lengths)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_span, p2_days, p6_packing, p6_containers, p7_mixture, p7_shares, p8_found, p8_rates, p8_lengths)}
+
+_SIM = "regexp_replace(regexp_replace(sim_id,'^[\\x00-\\x20]+|[\\x00-\\x20]+$','','g'),'^([0-9]+)\\.0+$','\\1')"
+_PICKED = ", ".join(f"max(t) filter (rk = greatest(ceil({q}::double*n - 1e-9), 1)) {c}" for c, q in PROBS.items())
+_HALF = {c: f"pow(2, floor(log2(abs({c}))) - 21)" for c in PROBS}
+_MIDDLE = ", ".join(f"sign({c})*(floor(abs({c})/(2*{h}))*2*{h} + {h}) {c}" for c, h in _HALF.items())
+ORACLES: dict[str, str] = {
+    "p2_days": f"""with v as (select {_SIM} sim_id, cast(make_timestamp(time_millis*1000) as date) "day", t from geosim_point_data where t is not null and isfinite(t) and t <> -9999),
+ r as (select *, row_number() over (partition by sim_id, "day" order by t) rk, count(*) over (partition by sim_id, "day") n from v),
+ g as (select sim_id, "day", any_value(n) n, {_PICKED} from r group by 1, 2)
+select sim_id, "day", n, {_MIDDLE}, greatest({", ".join(_HALF.values())}) value_error from g""",
+}
