@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquery.functions.keys import point_sim_id, row_key_text, trimmed
-from terraquery.operators import balanced, nearby, quantiles, references
-from terraquery.session import written
+from terraquery.operators import balanced, nearby, references
 from terraquery.sources import lines
 
 NODATA = -9999.0
@@ -44,37 +43,6 @@ def p1_cell_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("z_cell", F.col("n_left").alias("tasks"), F.col("n_right").alias("entries"), F.col("n_pairs").alias("pairs"))
 
 
-# 2 - percentiles of very large numeric columns
-
-PROBS = {"p01": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99}
-
-
-SCOPES = {"sim": ["sim_id"], "sim_day": ["sim_id", "day"], "day": ["day"], "all": []}
-SKETCH = quantiles.SketchSpec()
-
-
-def _days(spark: SparkSession, sf: str) -> DataFrame:
-    df = _points_by_sim(spark, sf).where(F.col("t").isNotNull())
-    return df.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("time_millis") / 86400000).cast("int")))
-
-
-def daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """Sketches of t per normalised sim_id and UTC day: the rows to keep and combine."""
-    return quantiles.sketch(_days(spark, sf), ["sim_id", "day"], "t")
-
-
-def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles per sim_id over all days, per sim_id and day, per day, and of everything."""
-    rows = quantiles.merge_scopes(quantiles.leaves(_days(spark, sf), ["sim_id", "day"], "t"), ["sim_id", "day"], SCOPES)
-    return quantiles.quantiles(rows, ["scope", "sim_id", "day"], list(PROBS.values()), names=list(PROBS))
-
-
-def p2_span(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of a quarter, combined from the kept sketches of its single days."""
-    days = written(daily_sketches(spark, sf)).where("day between date'2024-05-01' and date'2024-07-31'")
-    return quantiles.quantiles(quantiles.merge(days, ["sim_id"]), ["sim_id"], list(PROBS.values()), names=list(PROBS))
-
-
 # 3 - points near other points or regions
 
 
@@ -168,7 +136,7 @@ def p5_voxels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_sim_stats, p1_cell_tasks, p2_percentiles, p2_span, p3_found, p3_near_counts,
+    p1_found, p1_sim_stats, p1_cell_tasks, p3_found, p3_near_counts,
     p4_found, p4_report, p4_partial, p5_found, p5_reasons, p5_points, p5_voxels)}
 
 _SIM = "regexp_replace(regexp_replace(sim_id,'^[\\x00-\\x20]+|[\\x00-\\x20]+$','','g'),'^([0-9]+)\\.0+$','\\1')"
