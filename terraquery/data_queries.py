@@ -47,12 +47,7 @@ def p1_cell_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    points = table(spark, sf, "geosim_point_data")
-    xyz = ("x", "y", "z")
-    near = nearby.near_pairs(points, "row_key", xyz, NEAR_M)
-    inside = nearby.containing_regions(points, table(spark, sf, "geo_region"), "row_key", xyz)
-    return near.select(F.lit("near").alias("hit_kind"), "key_a", "key_b").unionByName(
-        inside.select(F.lit("inside").alias("hit_kind"), F.col("row_key").alias("key_a"), F.col("region_id").alias("key_b")))
+    return nearby.hits(table(spark, sf, "geosim_point_data"), table(spark, sf, "geo_region"), "row_key", ("x", "y", "z"), NEAR_M)
 
 
 def p3_near_counts(spark: SparkSession, sf: str) -> DataFrame:
