@@ -56,25 +56,34 @@ def p3_near_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # 4 - references to records that do not exist
 
-# Index table and the table its dk refers to.
+# Index table and the table its dk refers to; the parts of either table's keys.
 INDEX_OF = {"geosim_point_idx_unified": "geosim_point_data", "volume_idx_unified": "volume_brick_data"}
+PARTS_OF = {"geosim_point_data": ("key",), "volume_brick_data": ("sim", "millis", "i", "j", "k")}
 
 
-def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Entries and live keys of both tables, keyed by (data table, key)."""
-    refs = rows = None
-    for index, data in INDEX_OF.items():
-        r = table(spark, sf, index).select(F.lit(index).alias("table_name"), "entry_id", "day_bucket", F.lit(data).alias("data_table"), row_key_text(F.col("dk")).alias("key"))
-        d = table(spark, sf, data).select(F.lit(data).alias("data_table"), row_key_text(F.col("row_key")).alias("key"), "written_at")
-        refs, rows = (r, d) if refs is None else (refs.unionByName(r), rows.unionByName(d))
-    deletes = table(spark, sf, "row_deletes").select(trimmed(F.col("table_name")).alias("data_table"), row_key_text(F.col("row_key")).alias("key"), "deleted_at")
-    live = references.live_keys(rows.where("key is not null"), deletes.where("key is not null"), ["data_table", "key"], "written_at", "deleted_at")
-    return refs, live
+def _parted(df: DataFrame, data: str) -> DataFrame:
+    """``df`` with the parts of its ``key``; a part that is absent or empty is null, and so is every part of no key."""
+    parts = PARTS_OF[data]
+    if parts == ("key",):
+        return df
+    p = F.split("key", "\\|", len(parts))
+    return df.select("*", *[F.when(F.get(p, F.lit(i)) != "", F.get(p, F.lit(i))).alias(c) for i, c in enumerate(parts)], F.when(F.size(p) > 0, F.size(p)).alias("parts"))
+
+
+def _references(spark: SparkSession, sf: str, index: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Entries and live keys of one index table, and the columns of its key."""
+    data = INDEX_OF[index]
+    key = [*PARTS_OF[data], *(["parts"] if len(PARTS_OF[data]) > 1 else [])]
+    refs = table(spark, sf, index).select(F.lit(index).alias("table_name"), "entry_id", "day_bucket", row_key_text(F.col("dk")).alias("key"))
+    rows = table(spark, sf, data).select(row_key_text(F.col("row_key")).alias("key"), "written_at").where("key is not null")
+    deletes = table(spark, sf, "row_deletes").where(trimmed(F.col("table_name")) == data).select(row_key_text(F.col("row_key")).alias("key"), "deleted_at").where("key is not null")
+    return _parted(refs, data), references.live_keys(_parted(rows, data), _parted(deletes, data), key, "written_at", "deleted_at"), key
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    refs, live = _references(spark, sf)
-    return references.orphans(refs, live, ["data_table", "key"], "simple")
+    """Point keys have one part.  Voxel keys have five, and one that lacks some refers to a row that lacks the same."""
+    found = [references.orphans(*_references(spark, sf, index), "same").select("table_name", "entry_id", "day_bucket") for index in INDEX_OF]
+    return found[0].unionByName(found[1])
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,20 +94,10 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return references.orphan_report(_orphans(spark, sf), "table_name", "day_bucket")
 
 
-BRICK_KEY = ("sim", "millis", "i", "j", "k")
-
-
 def p4_partial(spark: SparkSession, sf: str) -> DataFrame:
     """Voxel entries under partial match: the parts a key has must match some live brick's."""
-    refs, live = _references(spark, sf)
-    mine = "volume_brick_data"
-
-    def parts(df: DataFrame) -> DataFrame:
-        p = F.split("key", "\\|", -1)
-        return df.where(F.col("data_table") == mine).select("*", *[F.when(F.get(p, F.lit(i)) != "", F.get(p, F.lit(i))).alias(c) for i, c in enumerate(BRICK_KEY)])
-
-    found = references.orphans(parts(refs), parts(live), BRICK_KEY, "partial", nullable=["k"])
-    return found.select("entry_id", "null_mask")
+    refs, live, _ = _references(spark, sf, "volume_idx_unified")
+    return references.orphans(refs, live, PARTS_OF["volume_brick_data"], "partial").select("entry_id", "null_mask")
 
 
 # 5 - rows that fail to parse

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MATCH = ("simple", "partial", "full")
+MATCH = ("simple", "partial", "full", "same")
 
 
 def live_keys(rows: DataFrame, deletes: DataFrame, key: Sequence[str], written: str, deleted: str) -> DataFrame:
@@ -25,40 +25,45 @@ def live_keys(rows: DataFrame, deletes: DataFrame, key: Sequence[str], written:
     return state.where((F.col("__row") == 1) & (F.col("__d").isNull() | (F.col("__w") > F.col("__d")))).select(*cols)
 
 
-def orphans(refs: DataFrame, parents: DataFrame, key: Sequence[str], match: str = "simple", nullable: Sequence[str] | None = None) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, key: Sequence[str], match: str = "simple") -> DataFrame:
     """References whose composite ``key`` finds no parent, with their ``null_mask``.
 
     References are grouped by the mask of null key columns (bit i set: ``key[i]`` is
-    null) and every mask is anti-joined on its non-null columns alone.
+    null) and every mask is anti-joined on its non-null columns alone.  All null refers
+    to nothing under each rule.
 
     * ``simple``: a reference with any null refers to nothing and is no orphan.
-    * ``partial``: the non-null columns must match some parent; all null refers to nothing.
-    * ``full``: all null refers to nothing; some but not all null is an orphan.
-
-    ``nullable`` names the key columns expected to be null (default: all); the number
-    of masks, and so of joins under ``partial``, is 2 to its size.  Given it, masks
-    outside it are looked up by one small aggregation, and those that occur are joined,
-    too.  Parents with a null in a compared column match no one.  References that occur
-    several times come out as often.
+    * ``partial``: the non-null columns must match some parent.
+    * ``full``: a reference with some but not all columns null is an orphan.
+    * ``same``: null is a part like any other: the parent has the same mask and the same
+      non-null columns.
+
+    Under ``partial`` and ``same`` the masks that occur are found by one small
+    aggregation, at most 2 to the number of key columns, and each is one join.  Parents
+    with a null in a compared column match no one.  References that occur several times
+    come out as often.
     """
     if match not in MATCH:
         raise ValueError(f"match must be one of {MATCH}")
     key = list(key)
-    mask = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(key)), F.lit(0))
-    refs = refs.withColumn("null_mask", mask.cast("int"))
-    whole = (1 << len(key)) - 1
-    found = refs.where(F.col("null_mask") == 0).join(parents.select(*key), key, "left_anti").select(*refs.columns)
-    if match == "simple":
-        return found
+
+    def masked(df: DataFrame) -> DataFrame:
+        return df.withColumn("null_mask", sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(key)), F.lit(0)).cast("int"))
+
+    refs, whole = masked(refs), (1 << len(key)) - 1
+
+    def lost(mask: int) -> DataFrame:
+        on = [c for i, c in enumerate(key) if not mask >> i & 1]
+        having = masked(parents.select(*key)).where(F.col("null_mask") == mask) if match == "same" else parents
+        return refs.where(F.col("null_mask") == mask).join(having.select(*on), on, "left_anti").select(*refs.columns)
+
+    found = lost(0)
     if match == "full":
         return found.unionByName(refs.where((F.col("null_mask") > 0) & (F.col("null_mask") < whole)))
-    may = sum(1 << i for i, c in enumerate(key) if nullable is None or c in nullable)
-    masks = {m for m in range(1, whole) if not m & ~may}
-    if may != whole:
-        masks |= {r["null_mask"] for r in refs.where(F.col("null_mask").bitwiseAND(F.lit(whole & ~may)) != 0).select("null_mask").distinct().collect()} - {whole}
-    for m in sorted(masks):
-        on = [c for i, c in enumerate(key) if not m >> i & 1]
-        found = found.unionByName(refs.where(F.col("null_mask") == m).join(parents.select(*on), on, "left_anti").select(*refs.columns))
+    if match in ("partial", "same"):
+        masks = {r["null_mask"] for r in refs.select("null_mask").distinct().collect()} - {0, whole}
+        for m in sorted(masks):
+            found = found.unionByName(lost(m))
     return found
 
 
