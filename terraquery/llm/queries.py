@@ -103,10 +103,16 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.cut_lengths(written(truncation.endings(_docs(spark, sf))))
+    found = truncation.cut_lengths(written(truncation.endings(_docs(spark, sf))))
+    return found.select("source", "unit", "length", "n", F.round("hazard", 6).alias("hazard"), F.round("expected", 4).alias("expected"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_span, p2_days, p6_packing, p6_containers, p7_mixture, p7_shares, p8_found, p8_rates, p8_lengths)}
+def p8_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts were found by a significant length, and how many by what else."""
+    return _flagged(spark, sf).where("truncated").groupBy("source", "why").agg(F.count(F.lit(1)).alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_span, p2_days, p6_packing, p6_containers, p7_mixture, p7_shares, p8_found, p8_rates, p8_lengths, p8_reasons)}
 
 _SIM = "regexp_replace(regexp_replace(sim_id,'^[\\x00-\\x20]+|[\\x00-\\x20]+$','','g'),'^([0-9]+)\\.0+$','\\1')"
 _PICKED = ", ".join(f"max(t) filter (rk = greatest(ceil({q}::double*n - 1e-9), 1)) {c}" for c, q in PROBS.items())

@@ -1,16 +1,20 @@
 """Text cut off by field limits or a broken transfer.
 
-Each text is reduced once to what its end shows: the length before anything that was
-added after a cut, whether its own structure proves it cut or whole (header block,
+Each text is reduced once to what its end shows: the length before anything that may have
+been added after a cut, whether its own structure proves it cut or whole (header block,
 multipart boundary, encoded block), and otherwise its last line.  Then
 
 * discrete length hazards h(L) = texts of length L / texts of length L or more are
   computed per source by window functions, in characters and in bytes, and each is
   tested against the hazards of its neighbours, with false-discovery control: these
   are the lengths at which a source cuts;
-* at a significant length a text is cut unless its structure proves it whole: a source
-  has at most a tenth as many texts of that very length by chance;
-* at any other length a text is cut only if its ending is incomplete in itself.
+* at a significant length a text is cut if its ending is incomplete: it is not, where
+  the structure proves it whole or where a whole last line is closed by a line break;
+* a remark or dots behind which texts mostly have a significant length are what a program
+  adds where it cuts; no list of them is needed;
+* a text that broke off at no common length, as a broken transfer leaves it, can't be
+  found by lengths: it is cut if it bears such a remark or its ending is incomplete in
+  itself.  ``why`` tells these from those found by length.
 
 A last line is whole if it ends as a sentence does, if it is a short remark of its own,
 or if other texts end with it, too: which names, greetings and signature lines, in any
@@ -30,10 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A rule and up to three lines below it, as a mailing list or gateway adds them.
-_FOOTER = re.compile(r"\n[_=-]{20,}\n(?:[^\n]{1,200}\n?){1,3}\s*$")
-# What programs put where they cut.  Dots alone may also be the writer's.
-_MARK = re.compile(r"\s*(?:(\[[^\[\]\n]{0,40}(?:clipped|truncated|cut off|shortened|gekürzt|tronqu|recortad|截断)[^\[\]\n]{0,40}\]|\[\.\.\.\]|\[…\]|\((?:more|continued|cut)\))|(\.\.\.|…))\s*$", re.I)
+# The line above what a mailing list or gateway adds below a text, in up to three lines.
+_RULE = re.compile(r"[_=-]{20,}")
+# What may be a program's remark at the end of a line; the corpus tells whether it is.
+_REMARK = re.compile(r"(\[[^\[\]]+\]|\([^()]+\)|\.\.\.|…)$")
 _QUOTE = re.compile(r"^\s*(?:[>|]\s?)+")
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"\n]+)"|([^\s;"]+))', re.I)
 _ENCODING = re.compile(r"^content-transfer-encoding:\s*([\w-]+)", re.I | re.M)
@@ -44,7 +48,7 @@ _ENDS = tuple(".!?。！？…)]}”»\"')）】」")
 _INITIAL = re.compile(r"^[-–—~]\s?[^\W\d_]{1,3}$")
 _NAME = re.compile(r"^(?:[^\W\d_][^\s\d]*)(?: [^\W\d_][^\s\d]*){0,2}$")
 
-FEATURES = "core_chars int, core_bytes int, text_hash long, proof string, terminated boolean, marked boolean, ends_well boolean, line_key string, mask_key string, before_key string, named boolean, remark boolean, body_hash long"
+FEATURES = "core_chars int, core_bytes int, text_hash long, proof string, terminated boolean, mark string, ends_well boolean, line_key string, mask_key string, before_key string, named boolean, remark boolean, body_hash long"
 
 
 def _keyed(line: str) -> str:
@@ -65,6 +69,15 @@ def _mask(key: str) -> str:
     return label + sep + re.sub(r"[^\W\d_a-z][^\W\d_]+", "A", rest) if sep and len(label) <= 30 else ""
 
 
+def without_footer(text: str) -> str:
+    """The text without a rule and one to three lines below it at its end."""
+    p = text.rstrip().rsplit("\n", 4)
+    for below in (3, 2, 1):
+        if len(p) > below + 1 and _RULE.fullmatch(p[-below - 1]) and all(p[-below:]):
+            return "\n".join(p[:-below - 1])
+    return text
+
+
 def _repaired(line: str) -> str:
     """A line whose UTF-8 was taken for a one-byte code, as it should read."""
     if not line.isascii():
@@ -97,21 +110,21 @@ def ending(text: str | None) -> tuple | None:
     """What the end of one text shows; None for a null, empty or blank text."""
     if text is None or not text.strip():
         return None
-    core = text
-    if m := _FOOTER.search(core, max(0, len(core) - 900)):
-        core = core[: m.start()]
-    marked = hard = False
+    core = without_footer(text)
+    mark = dots = None
     last = core.rstrip()
-    if not _QUOTE.match(last[last.rfind("\n") + 1:]) and (m := _MARK.search(core, max(0, len(core) - 100))):
-        hard = m.group(1) is not None
-        marked, whole_line = True, last[last.rfind("\n") + 1:]
-        marked_text, core = core, core[: m.start()]
+    if m := _REMARK.search(last, last.rfind("\n") + 1):
+        whole_line, terminated = last[last.rfind("\n") + 1:], core.endswith("\n")
+        quoted, core = _QUOTE.match(whole_line), last[: m.start()].rstrip()
+        alone = _QUOTE.sub("", whole_line).strip() == m.group()
+        mark = _short(("line " if alone else "") + re.sub(r"\d+", "9", m.group()))
+        dots = m.group() in ("...", "…") and not quoted
     size = (len(core), len(core.encode("utf-8", "surrogatepass")))
     digest = hash_text(core)
 
     def shown(proof: str, **x) -> tuple:
         d = {"body_hash": digest, "terminated": False, "ends_well": False, "line_key": None, "mask_key": None, "before_key": None, "named": False, "remark": False} | x
-        return (*size, digest, proof, d["terminated"], marked, d["ends_well"], d["line_key"], d["mask_key"], d["before_key"], d["named"], d["remark"], d["body_hash"])
+        return (*size, digest, proof, d["terminated"], mark, d["ends_well"], d["line_key"], d["mask_key"], d["before_key"], d["named"], d["remark"], d["body_hash"])
 
     head, sep, body = core.partition("\n\n")
     if not sep and "\r\n\r\n" in core:
@@ -122,8 +135,8 @@ def ending(text: str | None) -> tuple | None:
         b = _BOUNDARY.search(head)
         first = _PART.match(body)  # a multipart body whose header was lost
         if b or first:
-            mark = "--" + (b.group(1) or b.group(2)) if b else first.group(1)
-            if re.search(r"(?m)^" + re.escape(mark) + r"--\s*$", body):
+            boundary = "--" + (b.group(1) or b.group(2)) if b else first.group(1)
+            if re.search(r"(?m)^" + re.escape(boundary) + r"--\s*$", body):
                 return shown("whole")
             return shown("cut")
         how = m.group(1).lower() if (m := _ENCODING.search(head)) else ""
@@ -143,12 +156,10 @@ def ending(text: str | None) -> tuple | None:
             body = raw.decode("utf-8", "replace")
     else:
         body = core
-    if hard:
-        return shown("cut")
     lines = body.rstrip().split("\n")
     line, before = lines[-1], next((x for x in reversed(lines[:-1]) if _QUOTE.sub("", x).strip()), "")
-    if marked:  # dots: perhaps the writer's own
-        line, terminated = whole_line, marked_text.endswith("\n")
+    if mark:  # perhaps the writer's own
+        line = whole_line
     else:
         terminated = core.endswith("\n")
     line, before = _repaired(line), _repaired(before)
@@ -162,8 +173,8 @@ def ending(text: str | None) -> tuple | None:
     alone = len(lines) < 2 or not _QUOTE.sub("", lines[-2]).strip()
     remark = alone and (plain[:1].islower() and len(plain) <= 40 and "://" not in plain or _INITIAL.match(plain) is not None)
     tail = plain[-40:]
-    well = not plain or (not marked and any(t.rstrip().endswith(_ENDS) for t in _rereads(tail)) and not re.search(r"(?:^|\s)\d+\.$", tail))
-    if core[-1:].isspace() and not core.endswith("\n"):
+    well = not plain or (not dots and any(t.rstrip().endswith(_ENDS) for t in _rereads(tail)) and not re.search(r"(?:^|\s)\d+\.$", tail))
+    if not mark and core[-1:].isspace() and not core.endswith("\n"):
         well = not plain  # a line that goes on behind a blank
     return shown("open", body_hash=_body_hash(body), terminated=terminated, ends_well=well, line_key=_short(key), mask_key=_short(_mask(key)) or None, before_key=_short(_keyed(before)), named=named, remark=remark)
 
@@ -200,44 +211,54 @@ def endings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     return rows.mapInPandas(read, f"doc_id {kind}, source string, {FEATURES}")
 
 
-def cut_lengths(ends: DataFrame, window: int = 64, fdr: float = 0.01, least: int = 3) -> DataFrame:
+def cut_lengths(ends: DataFrame, window: int = 64, fdr: float = 0.01) -> DataFrame:
     """Lengths at which a source cuts: ``source, unit, length, n, hazard, expected, p``.
 
     n counts different texts, so copies of one text make no peak.  Its expectation comes
-    from the hazards of the lengths within ``window`` on both sides; p is the Chernoff
-    bound of the Poisson tail, and the Benjamini-Hochberg step keeps the false-discovery
-    rate of each source and unit below ``fdr``.  The windows run over histograms, which
-    have a row per distinct length and not per text.
+    from the hazards of the lengths within ``window`` on both sides, those found to be
+    significant themselves left out; p is the Chernoff bound of the Poisson tail, and the
+    Benjamini-Hochberg step keeps the false-discovery rate of each source and unit below
+    ``fdr``.  The windows run over histograms, which have a row per distinct length and
+    not per text.
     """
     each = ends.select("source", "core_chars", "core_bytes", "text_hash").distinct()
     units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"core_{u}").alias("length")) for u in ("chars", "bytes")]))
     hist = each.select("source", units.alias("x")).groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("source", "unit").orderBy("length")
-    hist = hist.withColumn("at_risk", F.sum("n").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    hist = hist.withColumn("around", F.sum("n").over(by.rangeBetween(-window, window)) - F.col("n"))
-    # exposure of the neighbours: at_risk below the length, at_risk less its own texts above it
-    exposure = F.lit(window) * (F.col("at_risk") * 2 - F.col("n")) + F.lit(1)
-    hist = hist.withColumn("expected", F.col("at_risk") * (F.col("around") + 0.5) / exposure)
-    n, e = F.col("n").cast("double"), F.col("expected")
-    hist = hist.withColumn("p", F.when(n > e, F.exp(n - e - n * F.log(n / e))).otherwise(1.0))
-    whole = Window.partitionBy("source", "unit")
-    hist = hist.withColumn("rank", F.row_number().over(whole.orderBy("p", "length"))).withColumn("tests", F.count(F.lit(1)).over(whole))
-    hist = hist.withColumn("bh", F.max(F.when(F.col("p") <= F.lit(fdr) * F.col("rank") / F.col("tests"), F.col("rank"))).over(whole))
-    found = hist.where((F.col("rank") <= F.col("bh")) & (F.col("n") >= least) & (F.col("n") >= F.col("expected") * 10))
-    return found.select("source", "unit", "length", "n", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected", "p")
-
-
-#: Share of all texts that must end with a line for it to be known as a last line.
+    hist = hist.withColumn("at_risk", F.sum("n").over(by.rowsBetween(0, Window.unboundedFollowing))).withColumn("peak", F.lit(False))
+    near = by.rangeBetween(-window, window)
+    # the first round finds peaks, the second tests every length without them among its neighbours
+    for _ in range(2):
+        aside = F.when(F.col("peak"), 1).otherwise(0)
+        hist = hist.withColumn("around", F.sum(F.when(F.col("peak"), 0).otherwise(F.col("n"))).over(near) - F.when(F.col("peak"), 0).otherwise(F.col("n")))
+        # exposure of the neighbours: at_risk below the length, at_risk less its own texts above it
+        lengths = F.lit(2 * window) - (F.sum(aside).over(near) - aside)
+        exposure = lengths / 2 * (F.col("at_risk") * 2 - F.col("n")) + F.lit(1)
+        hist = hist.withColumn("expected", F.col("at_risk") * (F.col("around") + 0.5) / exposure)
+        n, e = F.col("n").cast("double"), F.col("expected")
+        hist = hist.withColumn("p", F.when(n > e, F.exp(n - e - n * F.log(n / e))).otherwise(1.0))
+        whole = Window.partitionBy("source", "unit")
+        hist = hist.withColumn("rank", F.row_number().over(whole.orderBy("p", "length"))).withColumn("tests", F.count(F.lit(1)).over(whole))
+        hist = hist.withColumn("bh", F.max(F.when(F.col("p") <= F.lit(fdr) * F.col("rank") / F.col("tests"), F.col("rank"))).over(whole))
+        hist = hist.withColumn("peak", F.coalesce(F.col("rank") <= F.col("bh"), F.lit(False)))
+    return hist.where("peak").select("source", "unit", "length", "n", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected", "p")
+
+
+#: Share of all texts that must end with a line for it to be known as a last line.  It is a
+#: share because cut texts agree by chance in proportion to their number.
 KNOWN_SHARE = 2e-5
+#: Different texts that a remark must end, and the share of them at significant lengths.
+REMARK_TEXTS, REMARK_SHARE = 3, 0.5
 
 
 def flag_truncated(ends: DataFrame, lengths: DataFrame, share: float = KNOWN_SHARE) -> DataFrame:
     """``doc_id, source, truncated, why`` for each row of ``endings``.
 
-    ``why`` is structure, limit or ending, null for a whole text.  A known last line is
-    one that at least two different texts, and ``share`` of all, end with before a line
-    break, headers aside; a text cut there and closed by a line break does not make its
-    own fragment known, however many copies of it there are.
+    ``why`` is limit (incomplete at a significant length), structure, mark or ending, null
+    for a whole text.  A known last line is one that at least two different texts, and
+    ``share`` of all, end with before a line break, headers aside; a text cut there and
+    closed by a line break does not make its own fragment known, however many copies of it
+    there are.
     """
     seen = max(2, math.ceil(share * ends.select("body_hash").distinct().count()))
     is_open = F.col("proof") == "open"
@@ -247,22 +268,31 @@ def flag_truncated(ends: DataFrame, lengths: DataFrame, share: float = KNOWN_SHA
     before = model.where("named").select(F.lit("before").alias("kind"), F.col("before_key").alias("key"), "body_hash")
     known = lines_.unionByName(masks).unionByName(before).distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= seen)
 
-    def having(df: DataFrame, kind: str, col: str) -> DataFrame:
-        side = known.where(F.col("kind") == kind).select(F.col("key").alias(col), F.lit(True).alias(f"has_{kind}"))
-        return df.join(side, col, "left")
+    # rows without a key match nothing; a key of their own keeps them from meeting in one task
+    alone = F.concat(F.lit("\u0000"), F.xxhash64("doc_id", "text_hash").cast("string"))
+
+    def having(df: DataFrame, side: DataFrame, col: str, name: str) -> DataFrame:
+        side = side.select(F.col("key").alias("__key"), F.lit(True).alias(f"has_{name}"))
+        return df.withColumn("__key", F.coalesce(F.col(col), alone)).join(side, "__key", "left").drop("__key")
 
     df = ends
-    for kind, col in (("line", "line_key"), ("mask", "mask_key"), ("before", "before_key")):
-        df = having(df, kind, col)
     for unit in ("chars", "bytes"):
         side = lengths.where(F.col("unit") == unit).select("source", F.col("length").alias(f"core_{unit}"), F.lit(True).alias(f"at_{unit}"))
         df = df.join(side, ["source", f"core_{unit}"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    at_limit = yes("at_chars") | yes("at_bytes")
+    df = df.withColumn("at_limit", yes("at_chars") | yes("at_bytes"))
+    remarks = df.where("mark is not null").groupBy("mark", "body_hash").agg(F.max("at_limit").alias("at_limit"))
+    remarks = remarks.groupBy(F.col("mark").alias("key")).agg(F.count(F.lit(1)).alias("c"), F.avg(F.col("at_limit").cast("double")).alias("share"))
+    df = having(df, remarks.where((F.col("c") >= REMARK_TEXTS) & (F.col("share") >= REMARK_SHARE)), "mark", "mark_of_cut")
+    for kind, col in (("line", "line_key"), ("mask", "mask_key"), ("before", "before_key")):
+        df = having(df, known.where(F.col("kind") == kind), col, kind)
     whole_line = F.col("ends_well") | F.col("remark") | yes("has_line") | yes("has_mask") | (yes("has_before") & F.col("named"))
-    # at a limit the odds are with a cut, however the text ends
-    whole_end = whole_line & ~at_limit
-    why = F.when(F.col("proof") == "cut", "structure").when(is_open & ~whole_end, F.when(at_limit, "limit").otherwise("ending"))
+    marked = yes("has_mark_of_cut")
+    cut = F.col("proof") == "cut"
+    complete = whole_line & F.col("terminated") & ~marked
+    why = (
+        F.when(F.col("at_limit") & (cut | is_open & ~complete), "limit")
+        .when(cut, "structure").when(is_open & marked, "mark").when(is_open & ~whole_line, "ending"))
     return df.select("doc_id", "source", why.isNotNull().alias("truncated"), why.alias("why"))
 
 

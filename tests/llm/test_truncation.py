@@ -14,7 +14,7 @@ CASES = [
     (None, None), ("", None), ("  \n", None),
     ("From: a@b.example\nSubject: te", "cut"), ("From: a@b.example\nSubject: te" + FOOT, "cut"),
     (MULTI, "cut"), (MULTI + "--=_p1--\n", "whole"), (MULTI + "--=_p1--" + FOOT, "whole"), (MULTI + "--=_p1", "cut"),
-    (HEAD + "All is well.\n\n[Message clipped]", "cut"), (HEAD + "All is we (more)", "cut"),
+    (HEAD + "All is well.\n\n[Message clipped]", "open"), (HEAD + "All is we (more)", "open"), (MULTI + "--=_p1--\n[Message clipped]", "whole"),
     ("From: a@b.example\nContent-Transfer-Encoding: base64\n\nSGVsbG8gd29y", "open"), ("From: a@b.example\nContent-Transfer-Encoding: base64\n\nSGVsbG8gd29ybGQuC", "cut"),
     ("From: a@b.example\nContent-Transfer-Encoding: quoted-printable\n\nGr=C3=BC=C3", "open"), ("From: a@b.example\nContent-Transfer-Encoding: quoted-printable\n\nGr=C3=BC=", "cut"),
     (HEAD + "All is well.", "open"),
@@ -39,7 +39,10 @@ def test_core_length_leaves_out_what_was_added():
 
 
 def corpus(n=900, limit=700, seed=5):
-    """Texts of one source cut at a limit, of another never; (id, text, source, cut)."""
+    """Texts of one source cut at a limit, of another never; (id, text, source, cut).
+
+    A text that ends with a whole closed line is within nothing and counts as complete.
+    """
     rng = random.Random(seed)
     words = ["pump", "valve", "grid", "sensor", "archive", "reading", "schedule", "header", "pressure", "number"]
     out = []
@@ -49,7 +52,7 @@ def corpus(n=900, limit=700, seed=5):
             body += " ".join(rng.choice(words) for _ in range(rng.randint(4, 9))).capitalize() + rng.choice([". ", ".\n\n"])
         text = HEAD + body.strip() + rng.choice(["\n\nCheers,\nAda Quill\n", "\n\nno rush\n", "\n"])
         cut = i % 2 == 0 and len(text) > limit
-        out.append((i, text[:limit] if cut else text, [" Lim ", "free"][i % 2], cut))
+        out.append((i, text[:limit] if cut else text, [" Lim ", "free"][i % 2], cut and text[limit - 1] != "\n"))
     return out
 
 
@@ -65,6 +68,36 @@ def test_limits_and_flags(spark):
     assert rates["lim"]["cut"] == len(flagged) and rates["free"]["cut"] == 0 and rates[""]["texts"] == 1 and rates["lim"]["texts"] == 451
 
 
+@pytest.mark.parametrize("remark", ["\n\n[fin du transfert]", " (suite 12)", "…", "..."])
+def test_remarks_are_learnt_from_lengths(spark, remark):
+    """Whatever a program adds at its limit also tells the texts that it cut elsewhere; a writer's own does not."""
+    rows = [(i, t + (remark if cut else ""), s, cut) for i, t, s, cut in corpus()]
+    broken = [(2000 + i, f"{HEAD}A word on number {'very ' * i}early, and the\nrest is no{remark}", "free", True) for i in range(3)]
+    own = [(3000 + i, f"{HEAD}I will call {'very ' * i}soon.\n\nok for me (as ever)\n", "free", False) for i in range(30)]
+    docs = spark.createDataFrame(rows + broken + own, "doc_id long, text string, source string, cut boolean")
+    ends = T.endings(docs).cache()
+    flagged = {r["doc_id"]: r["why"] for r in T.flag_truncated(ends, T.cut_lengths(ends)).where("truncated").collect()}
+    assert set(flagged) == {i for i, _, _, cut in rows + broken + own if cut}
+    assert {why for i, why in flagged.items() if i < 2000} == {"limit"} and {flagged[r[0]] for r in broken} == {"mark"}
+
+
+def test_long_footer_and_long_remark():
+    foot = "\n" + "-" * 40 + "\n" + "This list is kept by us. " * 80 + "\nowner@b.example\n"
+    assert T.ending(HEAD + "y" * 40 + foot)[0] == len(HEAD) + 40
+    assert T.ending(HEAD + "y" * 40 + " [" + "cut " * 300 + "]" + foot)[0] == len(HEAD) + 40
+    assert T.ending(HEAD + "y" * 40 + "\n" + "-" * 40 + "\na\nb\nc\nd")[0] > len(HEAD) + 80
+
+
+def test_complete_text_of_a_limits_length(spark):
+    rows = corpus()
+    end = "\n\nCheers,\nAda Quill\n"
+    rows.append((5000, HEAD + ("All is well. " * 60)[: 700 - len(HEAD) - len(end)] + end, "lim", False))
+    assert len(rows[-1][1]) == 700
+    ends = T.endings(spark.createDataFrame(rows, "doc_id long, text string, source string, cut boolean")).cache()
+    flagged = {r["doc_id"] for r in T.flag_truncated(ends, T.cut_lengths(ends)).where("truncated").collect()}
+    assert flagged == {i for i, _, _, cut in rows if cut}
+
+
 def test_copies_make_no_limit(spark):
     docs = spark.createDataFrame([(i, HEAD + "w" * 400 + ".\n", "a") for i in range(60)] + [(100 + i, HEAD + "w" * (300 + 7 * i) + ".\n", "a") for i in range(60)], "doc_id long, text string, source string")
     assert T.cut_lengths(T.endings(docs)).count() == 0
