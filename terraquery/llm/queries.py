@@ -118,7 +118,28 @@ _SIM = "regexp_replace(regexp_replace(sim_id,'^[\\x00-\\x20]+|[\\x00-\\x20]+$','
 _PICKED = ", ".join(f"max(t) filter (rk = greatest(ceil({q}::double*n - 1e-9), 1)) {c}" for c, q in PROBS.items())
 _HALF = {c: f"pow(2, floor(log2(abs({c}))) - 21)" for c in PROBS}
 _MIDDLE = ", ".join(f"sign({c})*(floor(abs({c})/(2*{h}))*2*{h} + {h}) {c}" for c, h in _HALF.items())
+
+
+def _round_sql(peak: str, source: str) -> str:
+    """One round of the length tests over ``source``, whose column ``peak`` marks what is left out of the neighbours."""
+    return f"""(with a as (select source, unit, length, n, at_risk,
+   sum(case when {peak} then 0 else n end) over near - case when {peak} then 0 else n end around,
+   128 - (sum(case when {peak} then 1 else 0 end) over near - case when {peak} then 1 else 0 end) lengths
+  from {source} window near as (partition by source, unit order by length range between 64 preceding and 64 following)),
+ e as (select *, at_risk*(around+0.5::double)/(lengths/2.0::double*(2*at_risk-n)+1) expected from a),
+ q as (select *, case when n>expected then exp(n-expected-n*ln(n/expected)) else 1 end p from e),
+ r as (select *, row_number() over (partition by source, unit order by p, length) rk, count(*) over (partition by source, unit) m from q)
+ select source, unit, length, n, at_risk, expected, coalesce(rk <= max(case when p <= 0.01::double*rk/m then rk end) over (partition by source, unit), false) peak from r)"""
+
+
+_CORE = "regexp_replace(regexp_replace(text,'\\n[_=-]{20,}\\n(?:[^\\n]+\\n?){1,3}\\s*$',''),'\\s*(\\[[^\\[\\]\\n]+\\]|\\([^()\\n]+\\)|\\.\\.\\.|…)\\s*$','')"
 ORACLES: dict[str, str] = {
+    "p8_lengths": f"""with t as (select distinct coalesce(lower(trim(source)),'') source, {_CORE} core from documents where text is not null and not regexp_full_match(text,'\\s*')),
+ u as (select source, 'chars' unit, length(core)::int length from t union all select source, 'bytes', strlen(core)::int from t),
+ h as (select source, unit, length, count(*) n from u group by all),
+ h0 as (select *, sum(n) over (partition by source, unit order by length rows between current row and unbounded following)::bigint at_risk, false peak from h),
+ h1 as (select * from {_round_sql("peak", "h0")}), h2 as (select * from {_round_sql("peak", "h1")})
+select source, unit, length, n, round(n/at_risk, 6) hazard, round(expected, 4) expected from h2 where peak""",
     "p2_days": f"""with v as (select {_SIM} sim_id, cast(make_timestamp(time_millis*1000) as date) "day", t from geosim_point_data where t is not null and isfinite(t) and t <> -9999),
  r as (select *, row_number() over (partition by sim_id, "day" order by t) rk, count(*) over (partition by sim_id, "day") n from v),
  g as (select sim_id, "day", any_value(n) n, {_PICKED} from r group by 1, 2)
