@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquery.functions.keys import point_sim_id, row_key_text, trimmed
+from terraquery.functions.keys import once, point_sim_id, row_key_text, trimmed
 from terraquery.operators import balanced, nearby, references
 from terraquery.sources import lines
 
@@ -66,17 +66,18 @@ def _parted(df: DataFrame, data: str) -> DataFrame:
     parts = PARTS_OF[data]
     if parts == ("key",):
         return df
-    p = F.split("key", "\\|", len(parts))
-    return df.select("*", *[F.when(F.get(p, F.lit(i)) != "", F.get(p, F.lit(i))).alias(c) for i, c in enumerate(parts)], F.when(F.size(p) > 0, F.size(p)).alias("parts"))
+    p = F.col("__parts")
+    df = once(df, __parts=F.split("key", "\\|", len(parts)))
+    return df.select("*", *[F.when(F.get(p, F.lit(i)) != "", F.get(p, F.lit(i))).alias(c) for i, c in enumerate(parts)], F.when(F.size(p) > 0, F.size(p)).alias("parts")).drop("__parts")
 
 
 def _references(spark: SparkSession, sf: str, index: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Entries and live keys of one index table, and the columns of its key."""
     data = INDEX_OF[index]
     key = [*PARTS_OF[data], *(["parts"] if len(PARTS_OF[data]) > 1 else [])]
-    refs = table(spark, sf, index).select(F.lit(index).alias("table_name"), "entry_id", "day_bucket", row_key_text(F.col("dk")).alias("key"))
-    rows = table(spark, sf, data).select(row_key_text(F.col("row_key")).alias("key"), "written_at").where("key is not null")
-    deletes = table(spark, sf, "row_deletes").where(trimmed(F.col("table_name")) == data).select(row_key_text(F.col("row_key")).alias("key"), "deleted_at").where("key is not null")
+    refs = once(table(spark, sf, index).select(F.lit(index).alias("table_name"), "entry_id", "day_bucket", "dk"), key=row_key_text(F.col("dk"))).drop("dk")
+    rows = once(table(spark, sf, data).select("row_key", "written_at"), key=row_key_text(F.col("row_key"))).where("key is not null")
+    deletes = once(table(spark, sf, "row_deletes").where(trimmed(F.col("table_name")) == data), key=row_key_text(F.col("row_key"))).where("key is not null")
     return _parted(refs, data), references.live_keys(_parted(rows, data), _parted(deletes, data), key, "written_at", "deleted_at"), key
 
 

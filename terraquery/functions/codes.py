@@ -246,11 +246,15 @@ def grid_index_py(v: float, origin: float, step: float) -> int:
 
 @dataclass(frozen=True)
 class Grid:
-    """Voxel grid: origin, step and the bias that makes every stored index non-negative."""
+    """Voxel grid: origin, step and the bias that makes every stored index non-negative.
+
+    ``extent`` is the size of the largest voxel along each axis, if known.
+    """
 
     origin: tuple[float, float, float]
     step: tuple[float, float, float]
     bias: tuple[int, int, int]
+    extent: tuple[float, float, float] | None = None
 
     def index(self, v: Column, axis: int) -> Column:
         return grid_index(v, self.origin[axis], self.step[axis]) + F.lit(self.bias[axis])
@@ -268,6 +272,16 @@ def block_of_py(index: int, size: int) -> int:
     return index // size if index >= 0 else -(-index // size)
 
 
+def block_from(block: int, size: int) -> int:
+    """The least index of a block whose number is truncated towards zero."""
+    return block * size if block > 0 else block * size - (size - 1)
+
+
+def block_to(block: int, size: int) -> int:
+    """The greatest index of such a block."""
+    return block * size + (size - 1) if block >= 0 else block * size
+
+
 def volume_brick(v: Column | float, axis: int) -> Column:
     """Brick number of a position on the fixed volume grid."""
     return F.floor(_num(v) / F.lit(VOLUME_STEP[axis] * BRICK[axis])).cast("bigint")

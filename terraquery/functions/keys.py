@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often they are used.
+
+    A one-element generator keeps the optimizer from substituting the expressions
+    into every later use, filters included.
+    """
+    made = F.struct(*[c.alias(n) for n, c in cols.items()])
+    kept = [c for c in df.columns if c not in cols]
+    df = df.select(*kept, F.explode(F.array(made)).alias("__once"))
+    return df.select(*kept, *[F.col(f"__once.{n}").alias(n) for n in cols])
+
+
 _EDGES = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
 
 

@@ -3,7 +3,8 @@
 Three engines give one answer:
 
 * ``exact``       the conditions on the raw columns;
-* ``unified``     these, and the ranges of cell, day and bucket that they imply - one scan;
+* ``unified``     these, and the ranges of cell, day and bucket that they imply - one scan,
+  which skips the folders, files and row groups of stored facts;
 * ``incremental`` one key set per condition from a two-column projection, intersected by
   semi-joins and then looked up; kept for equivalence, it reads the facts several times.
 
@@ -32,9 +33,22 @@ def intersect_keys(sets: Sequence[DataFrame], key: str) -> DataFrame:
     return out.distinct()
 
 
-def lookup(facts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Fact rows with one of the keys; keys without a row vanish."""
-    return facts.join(keys.select(key), key, "left_semi")
+def lookup(facts: DataFrame, keys: DataFrame, key: str, probe: int = 0) -> DataFrame:
+    """Fact rows with one of the keys; keys without a row vanish.
+
+    Up to ``probe`` keys are looked for by value, which a scan of facts sorted by key, or
+    with a bloom filter, can skip by; more are joined.
+    """
+    keys = keys.select(key)
+    if probe:
+        few = [r[0] for r in keys.distinct().limit(probe + 1).collect()]
+        if len(few) <= probe:
+            return facts.where(F.col(key).isin(few))
+    return facts.join(keys, key, "left_semi")
+
+
+def _stored(facts: DataFrame, *cols: str) -> bool:
+    return all(c in facts.columns for c in cols)
 
 
 def run(facts: DataFrame, key: str, steps: Sequence[tuple[Column | None, Column | None]], engine: str) -> DataFrame:
@@ -54,6 +68,20 @@ def run(facts: DataFrame, key: str, steps: Sequence[tuple[Column | None, Column
     return lookup(facts.where(exact), intersect_keys(sets, key), key)
 
 
+def _cells(facts: DataFrame, corner: Sequence[tuple[int, int, int]], level: int, max_cells: int | None) -> Column:
+    """The cells of a box, and the ranges of the code that facts are sorted by where it is stored."""
+    cell = P.world_cells(F.col("ix"), F.col("iy"), F.col("iz"), *corner, level, max_cells)
+    if not _stored(facts, "z_code"):
+        return cell
+    s = C.BITS - level
+    lo, hi = tuple(v >> s << s for v in corner[0]), tuple((v >> s << s) + (1 << s) - 1 for v in corner[1])
+    return cell & P.code_cover("z_code", lo, hi)
+
+
+def _days(facts: DataFrame, time: P.TimeRange) -> Column:
+    return time.implied("day_bucket", "month" if _stored(facts, "month") else None)
+
+
 # --- SENSOR
 
 
@@ -75,10 +103,10 @@ def sensor_query(facts: DataFrame, conditions: Sequence, engine: str = "unified"
             cell = None
             if level is not None:
                 at = [tuple(C.axis_index_py(c.axis(i)[e], *C.WORLD[a]) for i, a in enumerate("xyz")) for e in (0, 1)]
-                cell = P.world_cells(F.col("ix"), F.col("iy"), F.col("iz"), *at, level, max_cells)
+                cell = _cells(facts, at, level, max_cells)
             steps[1].append((c.contains("longitude", "latitude", "altitude"), cell))
         elif isinstance(c, P.TimeRange):
-            steps[2].append((c.exact("time_ms"), c.implied("day_bucket")))
+            steps[2].append((c.exact("time_ms"), _days(facts, c)))
         else:
             raise TypeError(f"no condition: {c!r}")
     return run(facts, "row_key", [s for k in sorted(steps) for s in steps[k]], engine)
@@ -121,8 +149,8 @@ def point_query(facts: DataFrame, bounds: C.Bounds, time: P.TimeRange, box: P.Bo
                 vel: Sequence[P.Range] | None = None, engine: str = "unified", level: int = 9, max_cells: int | None = None) -> DataFrame:
     """Points by id, temperature or velocity, in a time and a box."""
     corner = [tuple(bounds.index_py(box.axis(i)[e], a) for i, a in enumerate("xyz")) for e in (0, 1)]
-    cell = P.world_cells(F.col("ix"), F.col("iy"), F.col("iz"), *corner, level, max_cells)
-    steps = [*_attr_steps(sim_id, temp, vel, C.POINT_VEL_STEP), (box.contains("x", "y", "z"), cell), (time.exact("time_ms"), time.implied("day_bucket"))]
+    cell = _cells(facts, corner, level, max_cells)
+    steps = [*_attr_steps(sim_id, temp, vel, C.POINT_VEL_STEP), (box.contains("x", "y", "z"), cell), (time.exact("time_ms"), _days(facts, time))]
     return run(facts, "dk", steps, engine)
 
 
@@ -149,8 +177,9 @@ def voxel_grid(df: DataFrame, line: str) -> GridReport | None:
         return None
     off = [F.abs(F.col(f"{a}_max") - F.col(f"{a}_min") - F.lit(d)) > F.lit(max(1.0, abs(d)) * 1e-6) for a, d in zip("xyz", first)]
     lows = [F.min(C.grid_index(F.col(f"{a}_min"), 0.0, d)) for a, d in zip("xyz", first)]
-    r = df.agg(F.count(F.lit(1)), F.count_if(off[0] | off[1] | off[2]), *lows).first()
-    return GridReport(C.Grid((0.0, 0.0, 0.0), tuple(first), tuple(-v if v < 0 else 0 for v in r[2:])), r[0], r[1])
+    sizes = [F.max(F.col(f"{a}_max") - F.col(f"{a}_min")) for a in "xyz"]
+    r = df.agg(F.count(F.lit(1)), F.count_if(off[0] | off[1] | off[2]), *lows, *sizes).first()
+    return GridReport(C.Grid((0.0, 0.0, 0.0), tuple(first), tuple(-v if v < 0 else 0 for v in r[2:5]), tuple(r[5:8])), r[0], r[1])
 
 
 def voxel_facts(df: DataFrame, grid: C.Grid) -> DataFrame:
@@ -166,17 +195,22 @@ def voxel_query(facts: DataFrame, grid: C.Grid, time: P.TimeRange, box: P.Box, s
 
     ``mode`` ``exact`` tests the overlap alone; ``indexed`` also demands that the block of
     the lower corner is among the blocks of the rounded box corners, which can miss
-    voxels that reach in from outside.  Cells are no implied condition in exact mode.
+    voxels that reach in from outside.  In exact mode the implied condition is the range
+    of lower corners of voxels no larger than ``grid.extent`` that can reach the box.
     """
     if level not in C.BLOCK_SIZE:
         raise ValueError(f"level must be one of {sorted(C.BLOCK_SIZE)}")
+    inside, index = box.intersects("x_min", "x_max", "y_min", "y_max", "z_min", "z_max"), tuple(F.col(f"{n}b") for n in "ijk")
     cell = None
     if mode == "indexed":
         size = C.BLOCK_SIZE[level]
         corner = [tuple(C.block_of_py(grid.index_py(box.axis(i)[e], i), size[i]) for i in range(3)) for e in (0, 1)]
-        cell = P.within_blocks(tuple(C.block_of(F.col(f"{n}b"), s) for n, s in zip("ijk", size)), *corner, max_cells)
-    inside = box.intersects("x_min", "x_max", "y_min", "y_max", "z_min", "z_max")
-    steps = [*_attr_steps(sim_id, temp, vel, C.VOXEL_VEL_STEP), (inside if cell is None else inside & cell, cell), (time.exact("time_ms"), time.implied("day_bucket"))]
+        cell = P.within_blocks(index, size, *corner, max_cells)
+        inside = inside & cell
+    elif grid.extent is not None:
+        # one index more on either side keeps what rounding may have moved
+        cell = P.both(*[index[i].between(F.lit(grid.index_py(box.axis(i)[0] - grid.extent[i], i) - 1), F.lit(grid.index_py(box.axis(i)[1], i) + 1)) for i in range(3)])
+    steps = [*_attr_steps(sim_id, temp, vel, C.VOXEL_VEL_STEP), (inside, cell), (time.exact("time_ms"), _days(facts, time))]
     return run(facts, "brick_key", steps, engine)
 
 

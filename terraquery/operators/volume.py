@@ -25,6 +25,12 @@ def decode(models: DataFrame, payload: str = "payload_b64") -> DataFrame:
     return models.withColumn("vals", decode_payload(F.col(payload), F.col("nx") * F.col("ny") * F.col("nz"))).drop(payload)
 
 
+def checked(parsed: DataFrame, payload: str = "payload_b64") -> DataFrame:
+    """Parsed models with ``vals``; a sound line whose payload does not hold its grid gets the error ``payload``."""
+    df = decode(parsed, payload)
+    return df.withColumn("error", F.coalesce("error", F.when(F.col("vals").isNull(), "payload")))
+
+
 def has_data(vals: Column) -> Column:
     return F.exists(vals, lambda v: v != F.lit(C.NODATA).cast("float"))
 
@@ -74,8 +80,9 @@ def volume_query(facts: DataFrame, model_type: str, time: P.TimeRange, box: P.Bo
     from terraquery.operators.engines import run
 
     lo, hi = ([C.volume_brick_py(box.axis(i)[e], i) for i in range(3)] for e in (0, 1))
-    cells = P.within_blocks((F.col("gi"), F.col("gj"), F.col("gk")), tuple(lo), tuple(hi))
-    steps = [(F.col("indexed") & (F.col("model_type") == model_type), None), (cells, cells), (time.exact("time_ms"), time.implied("day_bucket"))]
+    cells = P.within_blocks((F.col("gi"), F.col("gj"), F.col("gk")), (1, 1, 1), tuple(lo), tuple(hi))
+    days = time.implied("day_bucket", "month" if "month" in facts.columns else None)
+    steps = [(F.col("indexed") & (F.col("model_type") == model_type), None), (cells, cells), (time.exact("time_ms"), days)]
     return run(facts, "brick_key", steps, engine)
 
 

@@ -46,8 +46,11 @@ class TimeRange:
         day = lambda ms: int(datetime.fromtimestamp(ms / 1000, timezone.utc).strftime("%Y%m%d"))
         return day(self.start), day(self.end)
 
-    def implied(self, col: str) -> Column:
-        return F.col(col).between(*map(F.lit, self.days()))
+    def implied(self, col: str, month: str | None = None) -> Column:
+        """The days, and the months by which stored facts are divided into folders."""
+        a, b = self.days()
+        inside = F.col(col).between(F.lit(a), F.lit(b))
+        return inside if month is None else inside & F.col(month).between(F.lit(a // 100), F.lit(b // 100))
 
 
 @dataclass(frozen=True)
@@ -88,23 +91,40 @@ class Range:
         return F.col(col).between(F.lit(self.lo), F.lit(self.hi))
 
 
-def within_blocks(index: tuple[Column, Column, Column], lo: tuple[int, int, int], hi: tuple[int, int, int], max_cells: int | None = None) -> Column:
-    """Blocks of a closed block box; with ``max_cells`` only the first ones, x slowest.
+def within_blocks(index: tuple[Column, Column, Column], size: tuple[int, int, int], lo: tuple[int, int, int], hi: tuple[int, int, int], max_cells: int | None = None) -> Column:
+    """Indices in the blocks, ``size`` long, of a closed block box; with ``max_cells`` only the first ones, x slowest.
 
-    The limit reproduces an enumeration that stops, in closed form.
+    The conditions are ranges of the bare index columns, which a scan can compare with the
+    bounds of its row groups.  Block numbers are truncated towards zero.  The limit
+    reproduces an enumeration that stops, in closed form.
     """
-    inside = both(*[c.between(F.lit(a), F.lit(b)) for c, a, b in zip(index, lo, hi)])
+    inside = both(*[c.between(F.lit(C.block_from(a, n)), F.lit(C.block_to(b, n))) for c, n, a, b in zip(index, size, lo, hi)])
     if max_cells is None:
         return inside
     ny, nz = (b - a + 1 for a, b in list(zip(lo, hi))[1:])
-    place = ((index[0] - F.lit(lo[0])) * F.lit(ny) + (index[1] - F.lit(lo[1]))) * F.lit(nz) + (index[2] - F.lit(lo[2]))
+    bx, by, bz = (C.block_of(c, n) for c, n in zip(index, size))
+    place = ((bx - F.lit(lo[0])) * F.lit(ny) + (by - F.lit(lo[1]))) * F.lit(nz) + (bz - F.lit(lo[2]))
     return inside & (place < F.lit(max_cells))
 
 
 def world_cells(ix: Column, iy: Column, iz: Column, lo: tuple[int, int, int], hi: tuple[int, int, int], level: int, max_cells: int | None = None) -> Column:
     """Membership of normalised indices in the cells of a level that touch an index box."""
     s = C.BITS - level
-    return within_blocks(tuple(C.block(c, level) for c in (ix, iy, iz)), tuple(v >> s for v in lo), tuple(v >> s for v in hi), max_cells)
+    return within_blocks((ix, iy, iz), (1 << s,) * 3, tuple(v >> s for v in lo), tuple(v >> s for v in hi), max_cells)
+
+
+def code_cover(code: str, lo: tuple[int, int, int], hi: tuple[int, int, int], most: int = 16) -> Column:
+    """The Morton codes of an index box as a few ranges, which may hold more but miss none.
+
+    For facts sorted by code: the ranges skip what the index ranges of the three axes
+    can't, as files far from the box span wide ranges of each axis.
+    """
+    from terraquery.plans.ranges import code_ranges
+
+    hit = F.lit(False)
+    for a, b in code_ranges(lo, hi, most):
+        hit = hit | F.col(code).between(F.lit(a), F.lit(b))
+    return hit
 
 
 def selectivity(*conditions) -> float:

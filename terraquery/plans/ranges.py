@@ -61,13 +61,14 @@ def cell_count(lo: tuple[int, int, int], hi: tuple[int, int, int], level: int) -
     return n
 
 
-def cells(lo: tuple[int, int, int], hi: tuple[int, int, int], level: int, most: int = 1_000_000) -> list[int]:
-    """Sorted block codes of the first ``most`` cells (x slowest, z fastest)."""
-    s, out = BITS - level, []
-    for x in range(lo[0] >> s, (hi[0] >> s) + 1):
-        for y in range(lo[1] >> s, (hi[1] >> s) + 1):
-            for z in range(lo[2] >> s, (hi[2] >> s) + 1):
-                if len(out) >= most:
-                    return sorted(out)
-                out.append(morton_py(x << s, y << s, z << s))
-    return sorted(out)
+def cells(lo: tuple[int, int, int], hi: tuple[int, int, int], level: int, most: int | None = None) -> list[int]:
+    """Sorted block codes of the cells of a level that touch the index box; of the first ``most`` (x slowest), if given.
+
+    A list is for boxes of few cells; queries use the ranges of ``within_blocks``.
+    """
+    s = BITS - level
+    first = [v >> s for v in lo]
+    n = [(b >> s) - a + 1 for a, b in zip(first, hi)]
+    count = n[0] * n[1] * n[2] if most is None else min(most, n[0] * n[1] * n[2])
+    at = ((i // (n[1] * n[2]), i // n[2] % n[1], i % n[2]) for i in range(count))
+    return sorted(morton_py(*((f + d) << s for f, d in zip(first, place))) for place in at)

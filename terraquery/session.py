@@ -46,11 +46,14 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it.
 
     Cuts the lineage, so that a narrow intermediate table which several later
-    steps read is computed once and survives the loss of an executor.
+    steps read is computed once and survives the loss of an executor.  What was
+    written is deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,23 +1,31 @@
-"""Where the tables of a dataset lie, how they are laid out, and how one is dropped."""
+"""Where the tables of a dataset lie, how they are laid out, and how one is dropped.
+
+Everything goes through Spark's own file systems, so a dataset may lie on any of them.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-import shutil
+from collections.abc import Sequence
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquery.functions.codes import Bounds, Grid
 from terraquery.functions import codes as C
+from terraquery.functions.codes import Bounds, Grid
 
+# What a dataset may be called, the families, and the index sets of each.
 NAME = re.compile(r"^[A-Za-z0-9_]+$")
 FAMILIES = ("sensor", "point", "voxel", "volume")
 INDEX_SETS = {"sensor": ("incremental", "unified"), "point": ("incremental", "unified", "temp_unified", "vel_unified"), "voxel": ("incremental", "unified", "temp_unified", "vel_unified", "vel_incremental"), "volume": ("unified",)}
 
+#: By what column, before the code, the facts of an index set are sorted.
+LEADING = {"sensor": {"unified": "sensor_id"}, "point": {"unified": "sim_id", "temp_unified": "temp_bucket", "vel_unified": None}, "voxel": {"unified": "sim_id", "temp_unified": "temp_bucket", "vel_unified": None}, "volume": {"unified": "model_type"}}
+#: The three index columns of each family, whose Morton code sorts the facts.
+AXES = {"sensor": ("ix", "iy", "iz"), "point": ("ix", "iy", "iz"), "voxel": ("ib", "jb", "kb"), "volume": ("gi", "gj", "gk")}
+
 
 def checked(name: str) -> str:
     if not NAME.match(name):
@@ -25,14 +33,14 @@ def checked(name: str) -> str:
     return name
 
 
-def path_of(root: str, family: str, dataset: str, table: str = "facts", level: int | None = None) -> str:
-    """Folder of a table: ``root/family/dataset/table[_Llevel]``."""
+def path_of(root: str, family: str, dataset: str, table: str = "facts") -> str:
+    """Folder of a table: ``root/family/dataset/table``."""
     if family not in FAMILIES:
         raise ValueError(f"family must be one of {FAMILIES}")
-    return f"{root}/{family}/{checked(dataset)}/{table}" + (f"_L{level}" if level is not None else "")
+    return f"{root}/{family}/{checked(dataset)}/{table}"
 
 
-def index_sets(family: str, wanted: list[str] | None) -> list[str]:
+def index_sets(family: str, wanted: Sequence[str] | None) -> list[str]:
     """The known index sets of a list; all default ones where none is known, except for voxels."""
     known = [w for w in wanted or [] if w in INDEX_SETS[family]]
     if known:
@@ -42,55 +50,87 @@ def index_sets(family: str, wanted: list[str] | None) -> list[str]:
     return [w for w in ("incremental", "unified") if w in INDEX_SETS[family]]
 
 
-def write_facts(df: DataFrame, root: str, family: str, dataset: str, sort: list[str], partitions: int | None = None) -> str:
-    """Write facts by day, range-partitioned and sorted by ``sort``.
+def layouts(family: str, wanted: Sequence[str] | None) -> list[str]:
+    """The sorted copies of the facts that index sets ask for; facts are always kept by ``unified``."""
+    return ["unified", *[s for s in index_sets(family, wanted) if s in LEADING[family] and s != "unified"]]
+
+
+def table_of(layout: str) -> str:
+    return "facts" if layout == "unified" else f"facts_{layout}"
+
 
-    The range partition takes the place of region pre-splitting; sorted files let the
-    scan skip row groups by minimum and maximum.
+def write_facts(df: DataFrame, root: str, family: str, dataset: str, layout: str = "unified", partitions: int | None = None) -> str:
+    """Write facts by month, range-partitioned and sorted by attribute and Morton code.
+
+    Rows that are near in space lie in the same row groups, whose bounds of index
+    columns, code and day let a scan skip them; the range partition takes the place of
+    region pre-splitting.  Codes of negative indices are those of their low bits, so they
+    only affect the order.
     """
-    path = path_of(root, family, dataset)
-    by = ["day_bucket", *sort]
+    path = path_of(root, family, dataset, table_of(layout))
+    lead = LEADING[family][layout]
+    index = [F.col(c).bitwiseAND(F.lit(C.MAX_INDEX)) for c in AXES[family]]
+    df = df.withColumn("month", F.floor(F.col("day_bucket") / 100).cast("int")).withColumn("z_code", C.morton(*index))
+    by = ["month", *([lead] if lead else []), "z_code"]
     df = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    df.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("day_bucket").parquet(path)
+    df.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("month").parquet(path)
     return path
 
 
-def write_meta(path: str, **parts: Bounds | Grid | dict | str) -> None:
-    """Small metadata beside the facts, as JSON."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({k: asdict(v) if isinstance(v, (Bounds, Grid)) else v for k, v in parts.items()}))
+def write_meta(spark: SparkSession, path: str, **parts: Bounds | Grid | dict | str | list | None) -> None:
+    """Small metadata beside the facts, as one line of JSON."""
+    text = json.dumps({k: asdict(v) if isinstance(v, (Bounds, Grid)) else v for k, v in parts.items()})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_meta(path: str) -> dict:
-    made = json.loads(Path(path).read_text())
+def read_meta(spark: SparkSession, path: str) -> dict:
+    made = json.loads(spark.read.text(path).first()[0])
     if "bounds" in made:
         made["bounds"] = Bounds(**made["bounds"])
     if "grid" in made:
-        made["grid"] = Grid(**{k: tuple(v) for k, v in made["grid"].items()})
+        made["grid"] = Grid(**{k: None if v is None else tuple(v) for k, v in made["grid"].items()})
     return made
 
 
 def split_points(kind: str, n: int) -> list[int] | list[str]:
-    """n-1 boundaries that cut a key space evenly: hex digits, Morton codes or 32-bit hashes."""
+    """n-1 boundaries that cut a key space evenly.
+
+    ``hex`` row keys, ``sensor`` ids of three digits, ``time`` by hours of the day, ``z``
+    Morton codes, ``hash`` 31-bit hashes.
+    """
     if n < 1:
         raise ValueError("at least one part")
     if kind == "hex":
         return [format(i * 65536 // n, "04x") for i in range(1, n)]
-    top = {"z": 1 << 3 * C.BITS, "hash": 1 << 31}[kind]
+    if kind == "sensor":
+        return [f"SENS_{i * 1000 // n:03d}" for i in range(1, n)]
+    top = {"z": 1 << 3 * C.BITS, "hash": 1 << 31, "time": 86_400_000}[kind]
     return [i * top // n for i in range(1, n)]
 
 
-def tables(root: str, dataset: str) -> list[str]:
+def _files(spark: SparkSession, path: str):
+    """The file system of a path and the path, as the JVM knows them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def tables(spark: SparkSession, root: str, dataset: str) -> list[str]:
     """Folders of exactly this dataset, in every family."""
-    return sorted(str(p) for f in FAMILIES for p in Path(root, f).glob(checked(dataset)) if p.is_dir())
+    return [p for f in sorted(FAMILIES) if exists(spark, p := f"{root}/{f}/{checked(dataset)}")]
 
 
-def drop_dataset(root: str, dataset: str, force: bool = False) -> list[str]:
+def drop_dataset(spark: SparkSession, root: str, dataset: str, force: bool = False) -> list[str]:
     """Folders of a dataset; they are deleted only with ``force``."""
-    found = tables(root, dataset)
+    found = tables(spark, root, dataset)
     if force:
         for p in found:
-            shutil.rmtree(p)
+            fs, at = _files(spark, p)
+            fs.delete(at, True)
     return found
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquery.functions.keys import point_sim_id, trimmed, voxel_sim_id
+from terraquery.functions.keys import once, point_sim_id, trimmed, voxel_sim_id
 
 # Field orders and formats of the line families.
 POINT_FIELDS = ("sim_id", "time_iso", "x", "y", "z", "t", "ignored", "vx", "vy", "vz")
@@ -67,18 +67,6 @@ def delimiters(lines: DataFrame, file: str, number: str, raw: str) -> DataFrame:
     return lines.where(F.col(number) == 1).groupBy(F.col(file).alias("__file")).agg(F.max(F.contains(F.col(raw), F.lit("\t"))).alias("__tab"))
 
 
-def _once(df: DataFrame, **cols: Column) -> DataFrame:
-    """``df`` with columns that are computed once a row, however often they are used.
-
-    A one-element generator keeps the optimizer from substituting the expressions
-    into every later use, filters included.
-    """
-    made = F.struct(*[c.alias(n) for n, c in cols.items()])
-    kept = [c for c in df.columns if c not in cols]
-    df = df.select(*kept, F.explode(F.array(made)).alias("__once"))
-    return df.select(*kept, *[F.col(f"__once.{n}").alias(n) for n in cols])
-
-
 def split_fields(lines: DataFrame, file: str = "file_name", number: str = "line_no", raw: str = "raw_line") -> DataFrame:
     """``lines`` with ``__kind`` (skip, quoting or fields) and the array ``__fields``.
 
@@ -92,18 +80,18 @@ def split_fields(lines: DataFrame, file: str = "file_name", number: str = "line_
     text = F.when(F.col(number) == 1, F.regexp_replace(F.col(raw), "^\ufeff", "")).otherwise(F.col(raw))
     tab = F.coalesce("__tab", F.lit(False))
     led = F.concat(F.when(tab, F.lit("\t")).otherwise(F.lit(",")), F.regexp_replace(text, "[\\r\\n]+$", ""))
-    df = _once(joined, __tab=tab, __led=led)
+    df = once(joined, __tab=tab, __led=led)
     df = df.drop("__file").where(F.col("__led").isNotNull())
     tab_first, com_first = (F.regexp_extract(F.col("__led"), "^" + _units(d, blank)[1], 1) for d, blank in (("\t", "[ ]"), (",", "[ \t]")))
     (tab_ok, tab_fields), (com_ok, com_fields) = _split(F.col("__led"), "\t", "[ ]"), _split(F.col("__led"), ",", "[ \t]")
     pick = F.when(F.col("__tab"), tab_first).otherwise(com_first)
     blank = trimmed(F.substring("__led", 2, 2147483647)) == ""
-    df = _once(df, __head=blank | (_value(pick) == HEADER_WORD), __sound=F.when(F.col("__tab"), tab_ok).otherwise(com_ok))
+    df = once(df, __head=blank | (_value(pick) == HEADER_WORD), __sound=F.when(F.col("__tab"), tab_ok).otherwise(com_ok))
     kind = F.when(F.col("__head"), "skip").when(~F.col("__sound"), "quoting").otherwise("fields")
     fields = F.transform(F.when(F.col("__tab"), tab_fields).otherwise(com_fields), _value)
-    df = _once(df, __kind=kind, __fields=F.when(~F.col("__head") & F.col("__sound"), fields))
+    df = once(df, __kind=kind, __fields=F.when(~F.col("__head") & F.col("__sound"), fields))
     last = F.array_max(F.transform("__fields", lambda v, i: F.when(v != "", i + 1).otherwise(0)))
-    df = _once(df, __fields=F.slice("__fields", 1, F.coalesce(last, F.lit(0))))
+    df = once(df, __fields=F.slice("__fields", 1, F.coalesce(last, F.lit(0))))
     return df.drop("__tab", "__led", "__head", "__sound")
 
 
@@ -116,11 +104,11 @@ def parse_lines(lines: DataFrame, spec: LineSpec, **names: str) -> DataFrame:
     """
     df = split_fields(lines, **names).where(F.col("__kind") != "skip")
     full = (F.col("__kind") == "fields") & (F.size("__fields") == len(spec.fields))
-    df = _once(df, __full=full, __f=F.when(full, F.col("__fields")))
+    df = once(df, __full=full, __f=F.when(full, F.col("__fields")))
     text = {f: F.get("__f", F.lit(i)) for i, f in enumerate(spec.fields)}
     time = F.try_to_timestamp(F.when(text["time_iso"].rlike(TIME_SHAPE), text["time_iso"]), F.lit(TIME_FORMAT))
     number = {f: F.when(text[f].rlike(NUMBER_SHAPE), text[f]).try_cast("double") for f in spec.numbers}
-    df = _once(df, __time=time, **{f"__n_{f}": c for f, c in number.items()})
+    df = once(df, __time=time, **{f"__n_{f}": c for f, c in number.items()})
     full = F.col("__full")
     bad = [
         F.when(F.col("__kind") == "quoting", F.lit("quoting")).when(~full, F.lit("columns")),
@@ -128,7 +116,7 @@ def parse_lines(lines: DataFrame, spec: LineSpec, **names: str) -> DataFrame:
         F.when(full & F.col("__time").isNull(), F.lit("value:time_iso")),
         *[F.when(full & F.col(f"__n_{f}").isNull(), F.lit(f"value:{f}")) for f in spec.numbers],
     ]
-    df = _once(df, __errors=F.filter(F.array(*bad), lambda e: e.isNotNull()))
+    df = once(df, __errors=F.filter(F.array(*bad), lambda e: e.isNotNull()))
     kept = [c for c in lines.columns if c not in spec.fields and c not in ("errors", "reason", "time_millis")]
     sim = voxel_sim_id(text["sim_id"]) if spec.voxel else point_sim_id(text["sim_id"])
     return df.select(

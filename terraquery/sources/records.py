@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraquery.functions.codes import parse_instant
 from terraquery.functions.keys import trimmed
-from terraquery.sources.lines import NUMBER_SHAPE, TIME_FORMAT
+from terraquery.session import written
+from terraquery.sources.lines import NUMBER_SHAPE, TIME_FORMAT, delimiters
 
 # Field orders.
 SENSOR_FIELDS = ("time", "sensor_id", "longitude", "latitude", "altitude", "sensor_type")
 VOLUME_FIELDS = ("model_id", "time_iso", "model_type", "lon_min", "lat_min", "z_min", "lon_max", "lat_max", "z_max", "nx", "ny", "nz", "payload_b64")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file_name, raw_line`` of text files, plain or compressed."""
-    return spark.read.text(path).select(F.input_file_name().alias("file_name"), F.col("value").alias("raw_line"))
-
-
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``file_name, line_no, raw_line``; each file is read whole, as its lines are numbered from 1."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n", -1)))
-    return whole.select("file_name", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("raw_line"))
-
+    """``file_name, line_no, raw_line`` of text files, plain or compressed; lines count from 1 in each file.
 
-def tab_or_comma(first_line: str | None) -> str:
-    """The delimiter of a file by its first line."""
-    return "\t" if first_line and "\t" in first_line else ","
+    Files are split as the reader splits them: a line's number is its place in its split
+    and the number of lines in the splits before.  The lines are written once, so that
+    both come from the same splits.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("raw_line"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task reads its splits one after the other."""
+        split, seen = None, 0
+        for b in batches:
+            name, at = b.column(0).to_pylist(), b.column(1).to_pylist()
+            place = []
+            for here in zip(name, at):
+                if here != split:
+                    split, seen = here, 0
+                seen += 1
+                place.append(seen)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64())], names=["file_name", "at", "raw_line", "place"])
+
+    kept = written(read.mapInArrow(place, "file_name string, at long, raw_line string, place long"))
+    before = Window.partitionBy("file_name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each split
+    splits = kept.groupBy("file_name", "at").agg(F.count(F.lit(1)).alias("n")).select("file_name", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return kept.join(splits, ["file_name", "at"]).select("file_name", (F.col("before") + F.col("place")).alias("line_no"), "raw_line")
+
+
+def header_of(lines: DataFrame, word: str) -> str | None:
+    """The first line of the first file, if it begins with a header's word."""
+    first = lines.where("line_no = 1").orderBy("file_name").select("raw_line").first()
+    text = (first[0] or "").lstrip("\ufeff").rstrip("\r") if first else ""
+    return text if text.strip().strip('"').startswith(word) else None
 
 
 def _fields(raw: Column, delimiter: Column | str, n: int) -> list[Column]:
@@ -40,12 +64,27 @@ def _number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER_SHAPE), c).try_cast("double")
 
 
-def parse_sensors(lines: DataFrame, delimiter: Column | str = ",", raw: str = "raw_line") -> DataFrame:
-    """SENSOR rows (UTC); lines with fewer fields, a bad number or time are left out."""
+def check_sensors(lines: DataFrame, delimiter: Column | str | None = None, raw: str = "raw_line") -> DataFrame:
+    """SENSOR rows (UTC) with ``error``: null, or the first rule that a line breaks.
+
+    Without a ``delimiter`` a file's first line (``file_name``, ``line_no``) decides it.
+    Null and blank lines give no row.  A header breaks the rule of the time.
+    """
+    if delimiter is None:
+        files = delimiters(lines, "file_name", "line_no", raw)
+        lines = lines.join(files, F.col("file_name") == F.col("__file"), "left")
+        delimiter = F.when(F.coalesce("__tab", F.lit(False)), "\t").otherwise(",")
     t, sid, lon, lat, alt, kind = _fields(F.col(raw), delimiter, 6)
     ms = F.unix_millis(F.try_to_timestamp(t, F.lit(TIME_FORMAT)))
-    df = lines.select(ms.alias("time_ms"), sid.alias("sensor_id"), _number(lon).alias("longitude"), _number(lat).alias("latitude"), _number(alt).alias("altitude"), kind.alias("sensor_type"))
-    return df.na.drop("any")
+    nums = {"longitude": _number(lon), "latitude": _number(lat), "altitude": _number(alt)}
+    error = F.coalesce(F.when(kind.isNull(), "columns"), F.when(ms.isNull(), "time"), *[F.when(c.isNull(), k) for k, c in nums.items()])
+    lines = lines.where(trimmed(F.col(raw)) != "")
+    return lines.select(ms.alias("time_ms"), sid.alias("sensor_id"), *[c.alias(k) for k, c in nums.items()], kind.alias("sensor_type"), error.alias("error"))
+
+
+def parse_sensors(lines: DataFrame, delimiter: Column | str = ",", raw: str = "raw_line") -> DataFrame:
+    """SENSOR rows (UTC); lines with fewer fields, a bad number or time are left out."""
+    return check_sensors(lines, delimiter, raw).where("error is null").drop("error")
 
 
 def parse_volumes(lines: DataFrame, delimiter: Column | str = "\t", raw: str = "raw_line") -> DataFrame:

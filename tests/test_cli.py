@@ -47,5 +47,5 @@ def test_points_voxels_volumes_sensors(spark, tmp_path, capsys):
     assert "'loaded': 2" in run("load", "sensor", sen)
     run("spatial", "--sensor-id", "a", "--bbox", 111, 21, 0, 113, 23, 9, "--output-dir", tmp_path / "sensors")
     assert spark.read.csv(str(tmp_path / "sensors"), header=True).first()["ID"] == "a"
-    assert "would drop" in run("drop-dataset") and catalog.tables(root, "d")
-    assert "dropped" in run("drop-dataset", "--force") and not catalog.tables(root, "d")
+    assert "would drop" in run("drop-dataset") and catalog.tables(spark, root, "d")
+    assert "dropped" in run("drop-dataset", "--force") and not catalog.tables(spark, root, "d")

@@ -145,17 +145,17 @@ def test_exports_and_catalog(spark, tmp_path):
     exports.write(df, str(tmp_path / "o"), "both")
     assert spark.read.json(str(tmp_path / "o/json")).count() == 1 and spark.read.csv(str(tmp_path / "o/csv"), header=True).count() == 1
     root = str(tmp_path / "root")
-    facts = spark.range(10).selectExpr("id", "20240101 + id as day_bucket", "id as ix")
+    facts = spark.range(10).selectExpr("id", "20240101 + id * 100 as day_bucket", "id as ix", "id as iy", "id as iz", "'a' as sim_id")
     for d in ("1", "a_1"):
-        catalog.write_facts(facts, root, "point", d, ["ix"])
-        catalog.write_meta(f"{root}/point/{d}/meta.json", bounds=C.Bounds(0, 1, 0, 1, 0, 1), grid=C.Grid((0.0,) * 3, (1.0,) * 3, (0, 0, 0)))
-    plan = spark.read.parquet(catalog.path_of(root, "point", "1")).where("day_bucket = 20240103")
-    assert plan.count() == 1 and "PartitionFilters: [isnotnull(day_bucket" in plan._jdf.queryExecution().toString()
-    meta = catalog.read_meta(f"{root}/point/1/meta.json")
+        catalog.write_facts(facts, root, "point", d)
+        catalog.write_meta(spark, f"{root}/point/{d}/meta", bounds=C.Bounds(0, 1, 0, 1, 0, 1), grid=C.Grid((0.0,) * 3, (1.0,) * 3, (0, 0, 0)))
+    plan = spark.read.parquet(catalog.path_of(root, "point", "1")).where("month = 202403")
+    assert plan.count() == 1 and "PartitionFilters: [isnotnull(month" in plan._jdf.queryExecution().toString()
+    meta = catalog.read_meta(spark, f"{root}/point/1/meta")
     assert meta["bounds"].x_max == 1 and meta["grid"].step == (1.0, 1.0, 1.0)
-    assert catalog.drop_dataset(root, "1") == [f"{root}/point/1"] and catalog.tables(root, "1")
-    catalog.drop_dataset(root, "1", force=True)
-    assert not catalog.tables(root, "1") and catalog.tables(root, "a_1")
+    assert catalog.drop_dataset(spark, root, "1") == [f"{root}/point/1"] and catalog.tables(spark, root, "1")
+    catalog.drop_dataset(spark, root, "1", force=True)
+    assert not catalog.tables(spark, root, "1") and catalog.tables(spark, root, "a_1")
     with pytest.raises(ValueError):
         catalog.path_of(root, "point", "../x")
     assert catalog.index_sets("point", ["nonsense"]) == ["incremental", "unified"] and catalog.split_points("hex", 4) == ["4000", "8000", "c000"]
