@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquery.functions import codes as C
-from terraquery.functions.codec import encode_payload
+from terraquery.functions.codec import decode_payload, encode_payload
 from terraquery.functions.keys import point_sim_id, row_key_text
 from terraquery.operators import engines as E
 from terraquery.operators import volume as V
 from terraquery.plans import predicates as P
 from terraquery.plans import ranges as R
-from terraquery.sources import exports, records
+from terraquery.session import shared_dir
+from terraquery.sources import catalog, exports, jobs, records
 from terraquery.sources import views as S
 
 BOX = P.Box(4144100, 647030, -2650, 4144800, 647170, -2350)
@@ -24,6 +26,7 @@ POINT_VEL = (P.Range(-2e-4, 3e-4), P.Range(-3e-4, 2e-4), P.Range(-5e-3, 5e-3))
 VOXEL_BOX = P.Box(103, 96, 2, 307, 304, 21)
 VOXEL_VEL = (P.Range(-2e-6, 3e-6), P.Range(-3e-6, 2e-6), P.Range(-5e-5, 5e-5))
 VOLUME_TIME = P.TimeRange(1762300800000, 1763596800000)
+MANY_BOX = P.Box(113.30, 22.27, 20, 113.62, 22.60, 70)
 VOLUME_BOX = P.Box(113.30, 22.30, 0, 114.00, 22.90, 1000)
 SENSOR_ID = P.IdEquals("SENS_007")
 SENSOR_TIME = P.TimeRange(1704153600000, 1706486400000)
@@ -51,7 +54,7 @@ def curve_code(spark: SparkSession, sf: str) -> DataFrame:
 
 def fnv1a_hash(spark: SparkSession, sf: str) -> DataFrame:
     d = S.table(spark, sf, "documents").select("doc_id", "subject")
-    return d.where("subject is not null").select("doc_id", C.attr_hash(F.col("subject")).alias("h31"), C.fnv1a32(F.col("subject")).alias("h32"))
+    return d.select("doc_id", C.attr_hash(F.col("subject")).alias("h31"), C.fnv1a32(F.col("subject")).alias("h32"))
 
 
 def day_bucket(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,11 +77,22 @@ def vel_bucket(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unified_key(spark: SparkSession, sf: str) -> DataFrame:
-    f = S.table(spark, sf, "geosim_point_idx_unified").where("z_cell is not null and dk is not null")
+    f = S.table(spark, sf, "geosim_point_idx_unified")
     k = C.unified_key(C.KIND["id"], F.col("attr_hash"), F.col("z_cell"), F.col("day_bucket"), F.col("time_of_day"), F.col("dk"))
     return f.select("entry_id", F.length(k).alias("bytes"), C.unified_key_parts(k).alias("p")).select("entry_id", "bytes", F.col("p.attr").alias("attr"), F.col("p.z_cell").alias("z_cell"), F.col("p.day_bucket").alias("day_bucket"), F.col("p.time_of_day").alias("time_of_day"), F.col("p.dk").alias("dk"))
 
 
+def unified_key_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The five keys of each point, one a kind of attribute, as hexadecimal text."""
+    b = C.Bounds(4_144_000.0, 4_145_000.0, 647_000.0, 648_000.0, -2_700.0, -2_300.0)
+    p = S.points(spark, sf)
+    velocity = {a: C.flip_sign(C.vel_bucket(F.col(a), s)) for a, s in zip(("vx", "vy", "vz"), C.POINT_VEL_STEP)}
+    attr = {"id": C.attr_hash(F.col("sim_id")), "temp": C.temp_bucket(F.col("t")), **velocity}
+    cell = C.block_code(*[b.index(F.col(a), a) for a in "xyz"], LEVEL)
+    keys = [F.struct(F.lit(k).alias("kind"), F.hex(C.unified_key(C.KIND[k], a, cell, C.day_bucket(F.col("time_ms")), C.time_of_day(F.col("time_ms")), F.col("dk"))).alias("key_hex")) for k, a in attr.items()]
+    return p.select("dk", F.explode(F.array(*keys)).alias("k")).select("dk", "k.kind", "k.key_hex")
+
+
 def point_index_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Index entries of stored points, derived anew: hash, level-4 cell, day and time of day."""
     b = C.Bounds(4_140_000.0, 4_160_000.0, 640_000.0, 660_000.0, -3_200.0, 0.0)
@@ -140,6 +154,23 @@ def keys_union(spark: SparkSession, sf: str) -> DataFrame:
     return p.where(TEMP.exact("t")).select("sim_id", "time_ms").unionByName(p.where(BOX.contains("x", "y", "z")).select("sim_id", "time_ms")).distinct()
 
 
+def point_cell_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """How many points each condition leaves, the implied ones of cells and days before the exact ones."""
+    raw = S.points(spark, sf)
+    bounds = E.point_bounds(raw)
+    corner = [tuple(bounds.index_py(BOX.axis(i)[e], a) for i, a in enumerate("xyz")) for e in (0, 1)]
+    cells = P.world_cells(F.col("ix"), F.col("iy"), F.col("iz"), *corner, LEVEL)
+    steps = [("by_id", F.col("sim_id") == "2"), ("in_cells", cells), ("in_days", TIME.implied("day_bucket")), ("in_box", BOX.contains("x", "y", "z")), ("in_time", TIME.exact("time_ms"))]
+    return E.query_stats(E.point_facts(raw, bounds), steps)
+
+
+def keys_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of few keys, which are looked for by value."""
+    p = S.points(spark, sf)
+    few = p.where(TEMP.exact("t") & BOX.contains("x", "y", "z") & F.col("vx").between(0, 1e-6) & F.col("vy").between(0, 1e-6))
+    return E.lookup(p, few, "dk", probe=100).select("dk", "sim_id")
+
+
 def bucket_cell_tasks(spark: SparkSession, sf: str) -> DataFrame:
     """Bucket times cell task list of a temperature query: two short generated lists."""
     lo, hi = C.temp_bucket_py(TEMP.lo), C.temp_bucket_py(TEMP.hi)
@@ -148,14 +179,6 @@ def bucket_cell_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("bucket", F.explode(F.lit(R.cells(*box, 9))).alias("z_cell"))
 
 
-def boxes_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Points in many boxes at once, one box per part of the catalogue."""
-    p = S.table(spark, sf, "part").where("p_partkey <= 100").select(
-        F.col("p_partkey").alias("box_id"), *[F.expr(e).cast("double").alias(n) for n, e in (
-            ("x0", "4144000 + p_partkey * 9"), ("y0", "647000 + p_partkey * 8"), ("z0", "-2700"), ("x1", "4144020 + p_partkey * 9"), ("y1", "647030 + p_partkey * 8"), ("z1", "-2500"))])
-    return E.in_boxes(S.points(spark, sf), p, 50.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("points"))
-
-
 def boxes_all(spark: SparkSession, sf: str) -> DataFrame:
     """Points in one box per part, of all parts; the offsets wrap inside the extent of the points."""
     p = S.table(spark, sf, "part").select(
@@ -167,7 +190,7 @@ def boxes_all(spark: SparkSession, sf: str) -> DataFrame:
 # --- VOXEL
 
 _VOXEL = {"sim_voxel": {"sim_id": "2/3"}, "sim_voxel_temp": {"temp": TEMP}, "sim_voxel_vel": {"vel": VOXEL_VEL}}
-GRID = C.Grid((0.0, 0.0, 0.0), (10.0, 10.0, 5.0), (8, 8, 4))
+GRID = C.Grid((0.0, 0.0, 0.0), (10.0, 10.0, 5.0), (8, 8, 4), (10.0, 10.0, 5.0))
 
 
 def _voxel(spark: SparkSession, sf: str, name: str, engine: str, level: int = 4, mode: str = "exact") -> DataFrame:
@@ -199,61 +222,142 @@ def brick_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return E.lookup(idx, data, "key").select("entry_id")
 
 
+# --- stored facts
+
+#: Row groups in the small test tables, a thousandth of the usual size.
+ROW_GROUP = 128 << 10
+_AT: dict[tuple, str] = {}
+LAYOUTS = {"sensor": None, "point": ("unified", "temp_unified", "vel_unified"), "voxel": ("unified", "temp_unified", "vel_unified"), "volume": None}
+
+
+def stored(spark: SparkSession, sf: str) -> str:
+    """Root of the facts of all families over the test tables, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _AT:
+        root = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        raw = S.points(spark, sf)
+        bounds, voxels = E.point_bounds(raw), S.voxels(spark, sf)
+        grid = E.voxel_grid(voxels, "brick_key").grid
+        made = {"sensor": E.sensor_facts(S.sensors(spark, sf)), "point": E.point_facts(raw, bounds), "voxel": E.voxel_facts(voxels, grid), "volume": _bricks(spark, sf)}
+        for family, df in made.items():
+            for layout in catalog.layouts(family, LAYOUTS[family]):
+                catalog.write_facts(df, root, family, "test", layout, row_group=ROW_GROUP)
+        catalog.write_meta(spark, jobs.meta_path(root, "point", "test"), bounds=bounds)
+        catalog.write_meta(spark, jobs.meta_path(root, "voxel", "test"), grid=grid)
+        catalog.delete_on_exit(spark, root)
+        _AT[key] = root
+    return _AT[key]
+
+
+_LAYOUT_OF = {"": "unified", "_temp": "temp_unified", "_vel": "vel_unified"}
+
+
+def _stored_point(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    facts, bounds = jobs.facts(spark, stored(spark, sf), "point", "test", _LAYOUT_OF[name.removeprefix("sim_point")])
+    return E.point_query(facts, bounds, TIME, BOX, level=LEVEL, **_POINT[name]).select("dk", "sim_id", "time_ms", "x", "y", "z", "t")
+
+
+def _stored_voxel(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    facts, grid = jobs.facts(spark, stored(spark, sf), "voxel", "test", _LAYOUT_OF[name.removeprefix("sim_voxel")])
+    return E.voxel_query(facts, grid, TIME, VOXEL_BOX, **_VOXEL[name]).select("brick_key", "sim_id", "t", "vx")
+
+
+def _stored_sensor(spark: SparkSession, sf: str) -> DataFrame:
+    facts, _ = jobs.facts(spark, stored(spark, sf), "sensor", "test")
+    return E.sensor_query(facts, _SENSOR["sensor_spatial"], level=LEVEL).select("row_key", "time_ms", "sensor_id", "longitude", "latitude", "altitude", "sensor_type")
+
+
+def _stored_volume(spark: SparkSession, sf: str) -> DataFrame:
+    facts, _ = jobs.facts(spark, stored(spark, sf), "volume", "test")
+    return V.volume_query(facts, "channelized", VOLUME_TIME, VOLUME_BOX).select("brick_key", "model_id", "time_ms")
+
+
 # --- VOLUME
 
 
-def _bricks(spark: SparkSession, sf: str) -> DataFrame:
-    return V.brick_facts(V.tile(S.volumes(spark, sf)))
+def _models(spark: SparkSession, sf: str, many: bool) -> DataFrame:
+    return S.grids(spark, sf) if many else S.volumes(spark, sf)
+
+
+def _bricks(spark: SparkSession, sf: str, many: bool = False) -> DataFrame:
+    return V.brick_facts(V.tile(_models(spark, sf, many)))
 
 
-def _hits(spark: SparkSession, sf: str, engine: str = "unified") -> DataFrame:
-    return V.volume_query(_bricks(spark, sf), "channelized", VOLUME_TIME, VOLUME_BOX, engine)
+def _hits(spark: SparkSession, sf: str, engine: str = "unified", many: bool = False) -> DataFrame:
+    return V.volume_query(_bricks(spark, sf, many), "channelized", VOLUME_TIME, MANY_BOX if many else VOLUME_BOX, engine)
 
 
-def volume_tile(spark: SparkSession, sf: str) -> DataFrame:
+def _volume_tile(spark: SparkSession, sf: str, many: bool) -> DataFrame:
     real = F.filter("brick", lambda v: v != F.lit(C.NODATA).cast("float"))
-    return V.tile(S.volumes(spark, sf)).select("brick_key", F.size("brick").alias("cells"), F.size(real).alias("filled"), F.round(F.aggregate(real, F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+    return V.tile(_models(spark, sf, many)).select("brick_key", F.size("brick").alias("cells"), F.size(real).alias("filled"), F.round(F.aggregate(real, F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
-def volume_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return _bricks(spark, sf).select("brick_key", "gi", "gj", "gk", C.morton(F.col("gi"), F.col("gj"), F.col("gk")).alias("z_cell"), "indexed")
+def _volume_cells(spark: SparkSession, sf: str, many: bool) -> DataFrame:
+    return _bricks(spark, sf, many).select("brick_key", "gi", "gj", "gk", C.morton(F.col("gi"), F.col("gj"), F.col("gk")).alias("z_cell"), "indexed")
 
 
 def _volume_bricks(spark: SparkSession, sf: str, engine: str) -> DataFrame:
     return _hits(spark, sf, engine).select("brick_key", "model_id", "time_ms")
 
 
-def volume_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    b = _bricks(spark, sf)
-    return V.coverage(b, V.volume_query(b, "channelized", VOLUME_TIME, VOLUME_BOX))
+def _volume_coverage(spark: SparkSession, sf: str, many: bool) -> DataFrame:
+    b = _bricks(spark, sf, many)
+    return V.coverage(b, V.volume_query(b, "channelized", VOLUME_TIME, MANY_BOX if many else VOLUME_BOX))
 
 
-def volume_mask(spark: SparkSession, sf: str) -> DataFrame:
-    m = V.reassemble(_hits(spark, sf), VOLUME_BOX)
+def _volume_mask(spark: SparkSession, sf: str, many: bool) -> DataFrame:
+    m = V.reassemble(_hits(spark, sf, many=many), MANY_BOX if many else VOLUME_BOX)
     left = F.size(F.filter("vals", lambda v: v != F.lit(C.NODATA).cast("float")))
     return m.select("model_id", "time_ms", "kept", left.alias("filled"), "missing")
 
 
-def volume_mask_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return V.masked_cells(_hits(spark, sf), VOLUME_BOX)
+def _volume_mask_cells(spark: SparkSession, sf: str, many: bool) -> DataFrame:
+    return V.masked_cells(_hits(spark, sf, many=many), MANY_BOX if many else VOLUME_BOX)
+
+
+def volume_mask_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The text statistics beside a masked export."""
+    return exports.mask_report(V.reassemble(_hits(spark, sf, many=True), MANY_BOX))
+
 
+def _volume_lines(models: DataFrame, payload) -> DataFrame:
+    cols = ["model_id", C.format_instant(F.col("time_ms")), "model_type", *[F.col(f"{a}_{e}").cast("string") for e in ("min", "max") for a in ("lon", "lat", "z")], *[F.col(n).cast("string") for n in ("nx", "ny", "nz")]]
+    return models.select(F.concat_ws("\t", *cols, payload).alias("raw_line"))
 
-def volume_export(spark: SparkSession, sf: str) -> DataFrame:
+
+def _volume_export(spark: SparkSession, sf: str, many: bool) -> DataFrame:
     """Tile, reassemble, encode, parse, decode: the grids must come back whole."""
-    m = V.reassemble(V.tile(S.volumes(spark, sf))).where("missing = 0")
-    text = F.concat_ws("\t", "model_id", C.format_instant(F.col("time_ms")), "model_type", *[F.col(f"{a}_{e}").cast("string") for e in ("min", "max") for a in ("lon", "lat", "z")], *[F.col(n).cast("string") for n in ("nx", "ny", "nz")], encode_payload(F.col("vals")))
-    back = V.decode(records.parse_volumes(m.select(text.alias("raw_line"))).where("error is null"))
+    m = V.reassemble(V.tile(_models(spark, sf, many))).where("missing = 0")
+    back = V.decode(records.parse_volumes(_volume_lines(m, encode_payload(F.col("vals")))).where("error is null"))
     return back.select("model_id", "time_ms", F.size("vals").alias("cells"), F.round(F.aggregate("vals", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
+def volume_load_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Loaded and failed lines by reason; some lines are broken in each of the ways a line can be."""
+    broken = F.col("broken")
+    m = S.volumes(spark, sf).withColumn("broken", F.expr("cast(substr(model_id, 2) as bigint) % 10")).withColumns({"nx": F.when(broken == 1, 0).when(broken == 2, 5).otherwise(F.col("nx")), "model_id": F.when(broken == 3, "").otherwise(F.col("model_id"))})
+    payload = encode_payload(F.col("vals"))
+    payload = F.when(broken == 4, F.substr(payload, F.lit(1), F.lit(40))).when(broken == 5, F.lit(None)).when(broken == 6, "").when(broken == 7, "%%%").otherwise(payload)
+    found = V.checked(records.parse_volumes(_volume_lines(m, payload)))
+    return found.groupBy("error").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def brick_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Bricks as they are exported; the payload is read back."""
+    rows = exports.brick_rows(_hits(spark, sf, many=True))
+    back = decode_payload(F.col("payload_b64"), F.lit(V.CELLS))
+    real = F.filter(back, lambda v: v != F.lit(C.NODATA).cast("float"))
+    return rows.select("model_id", "time_iso", "time_millis", "model_type", "tile_i", "tile_j", "tile_k", "nx", F.size(real).alias("filled"))
+
+
 def volume_types(spark: SparkSession, sf: str) -> DataFrame:
     return S.volumes(spark, sf).groupBy("model_type").agg(F.count(F.lit(1)).alias("models"))
 
 
 def brick_meta(spark: SparkSession, sf: str) -> DataFrame:
-    """Bricks joined to their model's metadata by model and time."""
+    """Bricks of all models joined to the metadata of some; the others are skipped and counted as such."""
     meta = S.volumes(spark, sf).where("model_type = 'layered'").select("model_id", "time_ms", F.col("nx").alias("meta_nx"))
-    return V.tile(S.volumes(spark, sf)).join(meta, ["model_id", "time_ms"]).select("brick_key", "meta_nx")
+    return V.with_meta(V.tile(S.volumes(spark, sf)), meta).select("brick_key", "meta_nx", "skipped")
 
 
 # --- text in and out
@@ -276,8 +380,32 @@ def export_sensor_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 def export_sensor_json(spark: SparkSession, sf: str) -> DataFrame:
     j = exports.sensor_json(S.sensors(spark, sf))
-    return j.select(F.get_json_object("value", "$.row_key").alias("row_key"), F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.time").cast("bigint").alias("time"))
+    return j.select(F.get_json_object("value", "$.row_key").alias("row_key"), F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.timestamp").cast("bigint").alias("time"))
+
 
+def export_raw_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Point lines as objects under the names of a header."""
+    names = ["sim_id", "time", "x", "y", "z", "T", "P", "vx", "vy", "vz"]
+    rows = exports.raw_json(S.table(spark, sf, "geosim_point_line").where("raw_line is not null and not contains(raw_line, '\"') and not contains(raw_line, '\\\\')"), names)
+    return rows.groupBy(F.get_json_object("value", "$.sim_id").alias("sim_id"), F.get_json_object("value", "$.vz").alias("vz")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def export_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.envelope(S.sensors(spark, sf)).select("total_count")
+
+
+def rows_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """Points that the cells of a box select and its exact bounds refuse."""
+    raw = S.points(spark, sf)
+    bounds = E.point_bounds(raw)
+    corner = [tuple(bounds.index_py(BOX.axis(i)[e], a) for i, a in enumerate("xyz")) for e in (0, 1)]
+    return exports.rejected(E.point_facts(raw, bounds), P.world_cells(F.col("ix"), F.col("iy"), F.col("iz"), *corner, LEVEL), BOX.contains("x", "y", "z")).select("dk")
+
+
+def keys_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Index entries whose key has no stored brick."""
+    idx = S.table(spark, sf, "volume_idx_unified").select("entry_id", row_key_text(F.col("dk")).alias("key"))
+    return exports.missing(idx, S.table(spark, sf, "volume_brick_data").select(row_key_text(F.col("row_key")).alias("key")), "key").select("entry_id")
 
 def export_raw_csv(spark: SparkSession, sf: str) -> DataFrame:
     return exports.raw_csv(S.table(spark, sf, "geosim_voxel_line").where("raw_line is not null"))
@@ -289,16 +417,19 @@ def selectivity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    z3d_encode, block_id_level, curve_code, fnv1a_hash, day_bucket, days_of_tasks, temp_bucket, vel_bucket, unified_key, point_index_entries, z_ranges,
-    point_bounds, point_query_stats, keys_intersect, keys_union, bucket_cell_tasks, boxes_batch, boxes_all, voxel_cells, voxel_grid, brick_versions, brick_lookup,
-    volume_tile, volume_cells, volume_coverage, volume_mask, volume_mask_cells, volume_export, volume_types, brick_meta,
-    parse_sensor, export_sensor_csv, export_sensor_json, export_raw_csv, selectivity_report)}
+    z3d_encode, block_id_level, curve_code, fnv1a_hash, day_bucket, days_of_tasks, temp_bucket, vel_bucket, unified_key, unified_key_kinds, point_index_entries, z_ranges,
+    point_bounds, point_query_stats, point_cell_stats, keys_intersect, keys_union, keys_probe, bucket_cell_tasks, boxes_all, voxel_cells, voxel_grid, brick_versions, brick_lookup,
+    volume_types, brick_meta, brick_export, volume_mask_report, volume_load_reasons,
+    parse_sensor, export_sensor_csv, export_sensor_json, export_raw_csv, export_raw_json, export_envelope, rows_refused, keys_missing, selectivity_report)}
+for _f in (_volume_tile, _volume_cells, _volume_coverage, _volume_mask, _volume_mask_cells, _volume_export):
+    QUERIES |= {_f.__name__[1:] + ("_many" if many else ""): partial(_f, many=many) for many in (False, True)}
 QUERIES |= {f"{n}_{e}" if e != "unified" else n: partial(_sensor, name=n, engine=e) for n in _SENSOR for e in ("unified", "incremental") if e == "unified" or n in ("sensor_spatial", "sensor_bbox")}
 QUERIES |= {f"{n}_{e}": partial(_point, name=n, engine=e) for n in _POINT for e in E.ENGINES}
-QUERIES["sim_point_capped"] = partial(_point, name="sim_point", engine="unified", level=12, max_cells=60_000)
 QUERIES |= {f"{n}_{e}": partial(_voxel, name=n, engine=e) for n in _VOXEL for e in E.ENGINES}
 QUERIES |= {f"sim_voxel_indexed_l{n}": partial(_voxel, name="sim_voxel", engine="unified", level=n, mode="indexed") for n in (4, 6, 8)}
 QUERIES |= {f"volume_bricks_{e}": partial(_volume_bricks, engine=e) for e in ("unified", "incremental")}
+QUERIES |= {f"stored_{n}": partial(_stored_point, name=n) for n in _POINT} | {f"stored_{n}": partial(_stored_voxel, name=n) for n in _VOXEL}
+QUERIES |= {"stored_sensor_spatial": _stored_sensor, "stored_volume_bricks": _stored_volume}
 
 # --- SQL twins
 
@@ -383,12 +514,39 @@ def _index_of_point(a: str) -> str:
     return "case when isnan(" + a + ") then 0 else " + _index(f"({v})", a) + " end"
 
 
-_CAPPED = f"""with {_POINT_V}, b as (select min(x) x_min, max(x) x_max, min(y) y_min, max(y) y_max, min(z) z_min, max(z) z_max from point_v),
+_CELLED = f"""{_POINT_V}, b as (select min(x) x_min, max(x) x_max, min(y) y_min, max(y) y_max, min(z) z_min, max(z) z_max from point_v),
  q as (select * from (values {", ".join("(" + ", ".join(_d(BOX.axis(i)[e]) for i in range(3)) + ")" for e in (0, 1))}) v(x,y,z)),
- c as (select {", ".join(f"min(({_index_of_point(a)}) >> 9) l{a}, max(({_index_of_point(a)}) >> 9) h{a}" for a in "xyz")} from q, b),
- p as (select point_v.*, {", ".join(f"({_index_of_point(a)}) >> 9 g{a}" for a in "xyz")} from point_v, b)
-select dk, sim_id, time_ms, x, y, z, t from p, c where sim_id='2' and {_TIME} and {_POINT_BOX} and gx between lx and hx and gy between ly and hy and gz between lz and hz
- and ((gx-lx)*(hy-ly+1)+(gy-ly))*(hz-lz+1)+(gz-lz) < 60000"""
+ c as (select {", ".join(f"min(({_index_of_point(a)}) >> 12) l{a}, max(({_index_of_point(a)}) >> 12) h{a}" for a in "xyz")} from q, b),
+ p as (select point_v.*, {", ".join(f"({_index_of_point(a)}) >> 12 g{a}" for a in "xyz")} from point_v, b)"""
+_IN_CELLS = "gx between lx and hx and gy between ly and hy and gz between lz and hz"
+_DAYS = "strftime(make_timestamp(time_ms*1000),'%Y%m%d')::int between {} and {}".format(*TIME.days())
+_KEY_BOUNDS = "(select 4144000::double x_min, 4145000::double x_max, 647000::double y_min, 648000::double y_max, -2700::double z_min, -2300::double z_max)"
+
+# models of eight bricks: the cells, the bricks, and those of the box
+_GRID_V = """grid_v as (select 'G'||vec_id model_id, 1762300800000+vec_id*3600000 time_ms, case when label%2=0 then 'channelized' else 'layered' end model_type,
+ 113.25::double+(vec_id%16)*0.0625::double lon_min, 22.25::double+((vec_id//16)%16)*0.0625::double lat_min, (vec_id%4)*62.5::double z_min, vec_id, embedding from embeddings),
+ cell_v as (select *, case when (p+vec_id)%97=0 then -9999::float else embedding[(p*7+vec_id)%64+1]::float end v, p%20 cx, (p//20)%18 cy, p//360 cz from grid_v, (select unnest(range(3600)) p)),
+ brick_v as (select *, model_id||'|'||time_ms||'|'||i||'|'||j||'|'||k brick_key, floor((lon_min+i*0.0625::double)/0.0625::double)::bigint gi, floor((lat_min+j*0.0625::double)/0.0625::double)::bigint gj, floor((z_min+k*62.5::double)/62.5::double)::bigint gk
+  from grid_v, (select unnest([0,1]) i), (select unnest([0,1]) j), (select unnest([0,1]) k))"""
+_GRID_HIT = f"""{_GRID_V}, hit as (select * from brick_v where model_type='channelized' and time_ms between {VOLUME_TIME.start} and {VOLUME_TIME.end}
+ and {' and '.join(f"{g} between {C.volume_brick_py(MANY_BOX.axis(i)[0], i)} and {C.volume_brick_py(MANY_BOX.axis(i)[1], i)}" for i, g in enumerate(('gi', 'gj', 'gk')))}),
+ hits as (select model_id, time_ms, count(*) hit from hit group by 1,2)"""
+_GRID_CENTRES = " and ".join(
+    f"c.{a}_min + (c.{n}+0.5::double)*{_d(s)} >= {_d(MANY_BOX.axis(i)[0])} and c.{a}_min + (c.{n}+0.5::double)*{_d(s)} < {_d(MANY_BOX.axis(i)[1])}" for i, (a, n, s) in enumerate(zip(("lon", "lat", "z"), ("cx", "cy", "cz"), C.VOLUME_STEP)))
+_GRID_KEPT = f"""{_GRID_HIT}, kept as (select h.model_id, h.time_ms, count(*) filter ({_GRID_CENTRES}) kept, count(*) filter ({_GRID_CENTRES} and v<>-9999) filled
+ from hit h join cell_v c on h.model_id=c.model_id and c.cx//16=h.i and c.cy//16=h.j and c.cz//8=h.k group by 1,2)"""
+_GRID_TILE = "select model_id||'|'||time_ms||'|'||(cx//16)||'|'||(cy//16)||'|'||(cz//8) brick_key, count(*) filter (v<>-9999)::int filled, round(sum(v::double) filter (v<>-9999), 4) total from cell_v group by 1"
+
+
+def _selectivity_sql(c) -> str:
+    if isinstance(c, P.IdEquals):
+        return "1::double/50"
+    if isinstance(c, P.TypeEquals):
+        return "1::double/4"
+    if isinstance(c, P.TimeRange):
+        return f"least(1, greatest(0, ({c.end}-{c.start})/(30*86400000::double)))"
+    return "*".join(f"greatest(0, least(1, ({c.axis(i)[1]!r}::double-{c.axis(i)[0]!r}::double)/({C.WORLD[a][1]!r}::double-{C.WORLD[a][0]!r}::double)))" for i, a in enumerate("xyz"))
+
 
 _IDX_B = "(select 4140000::double x_min, 4160000::double x_max, 640000::double y_min, 660000::double y_max, -3200::double z_min, 0::double z_max)"
 _SIMN = "regexp_replace(regexp_replace(sim_id,'^[\\x00-\\x20]+|[\\x00-\\x20]+$','','g'),'^([0-9]+)\\.0+$','\\1')"
@@ -408,12 +566,12 @@ ORACLES = {
     "z3d_encode": f"with {_SENSOR_I} select row_key, {_morton('ix', 'iy', 'iz')} z, {_morton('ix', 'iy', 'iz')} z_again from sensor_i",
     "block_id_level": f"with {_SENSOR_I} select row_key, " + ", ".join(f"{_morton(_block('ix', n), _block('iy', n), _block('iz', n))} block_{n}" for n in (4, 9, 19)) + " from sensor_i",
     "curve_code": f"with {_SENSOR_I} select row_key, list_sum(list_transform(range(21), lambda i: ([{_ORDER}][1+((ix>>i)&1)*4+((iy>>i)&1)*2+((iz>>i)&1)])::bigint << (3*i)))::bigint code from sensor_i",
-    "fnv1a_hash": f"select doc_id, (h & 2147483647)::int h31, (case when h>=2147483648 then h-4294967296 else h end)::int h32 from (select doc_id, {_fnv('subject')} h from documents where subject is not null and subject<>'') union all select doc_id, (2166136261 & 2147483647)::int, (2166136261-4294967296)::int from documents where subject=''",
+    "fnv1a_hash": f"select doc_id, (h & 2147483647)::int h31, (case when h>=2147483648 then h-4294967296 else h end)::int h32 from (select doc_id, {_fnv('subject')} h from documents where subject is not null and subject<>'') union all select doc_id, (2166136261 & 2147483647)::int, (2166136261-4294967296)::int from documents where subject='' union all select doc_id, null, null from documents where subject is null",
     "day_bucket": f"with {_SENSOR_V} select row_key, strftime(ts,'%Y%m%d')::int day_bucket, (time_ms%86400000)::int time_of_day, strftime(ts,'%Y-%m-%dT%H:%M:%SZ') iso, 0::bigint lost from sensor_v",
     "days_of_tasks": "select task_id, (case when a<=b then b-a+1 else 0 end)::int \"days\", (abs(b-a)+1)::int swapped from (select task_id, strptime(day_from::varchar,'%Y%m%d')::date a, strptime(day_to::varchar,'%Y%m%d')::date b from chunk_task)",
     "temp_bucket": f"with {_POINT_V} select dk, trunc(t/2)::int b, (case when t-400>=0 then trunc((t-400)/2) else trunc((t-400-2+1)/2) end)::int b400 from point_v",
     "vel_bucket": f"with {_POINT_V}, b as (select dk, floor(vx/1e-4::double)::int b_vx, floor(vy/1e-4::double)::int b_vy, floor(vz/1e-3::double)::int b_vz from point_v) select *, (case when b_vx>=0 then b_vx-2147483648 else b_vx+2147483648 end)::int flipped, b_vy back from b",
-    "unified_key": "select entry_id, (22+strlen(dk))::int bytes, attr_hash attr, z_cell, day_bucket, time_of_day, dk from geosim_point_idx_unified where z_cell is not null and dk is not null",
+    "unified_key": "select entry_id, " + ", ".join(f"case when attr_hash is not null and z_cell is not null and day_bucket is not null and time_of_day is not null and dk is not null then {e} end {n}" for n, e in (("bytes", "(22+strlen(dk))::int"), ("attr", "attr_hash"), ("z_cell", "z_cell"), ("day_bucket", "day_bucket"), ("time_of_day", "time_of_day"), ("dk", "dk"))) + " from geosim_point_idx_unified",
     "point_index_entries": f"""with d as (select distinct row_key, {_SIMN} sim_id, time_millis, x, y, z from geosim_point_data),
  p as (select d.*, {", ".join(f"case when {a} is null then null else {_index_of_point(a)} end i{a}" for a in "xyz")} from d, {_IDX_B} b)
 select row_key, time_millis, (case when sim_id is null then null when sim_id='' then 18652613 else {_fnv('sim_id')} & 2147483647 end)::int attr_hash, case when ix is null or iy is null or iz is null then null else {_morton(_block('ix', 4), _block('iy', 4), _block('iz', 4))} end z_cell,
@@ -425,7 +583,6 @@ select row_key, time_millis, (case when sim_id is null then null when sim_id=''
     "keys_union": f"with {_POINT_V} select distinct sim_id, time_ms from point_v where {_between(TEMP, 't')} or ({_POINT_BOX})",
     "bucket_cell_tasks": f"select bucket::int bucket, z_cell from (select unnest(range(150,176)) bucket), (select {_morton('gx', 'gy', 'gz')} z_cell from " + ", ".join(
         f"(select unnest(range({lo >> 12},{(hi >> 12) + 1})) << 12 g{a})" for a, lo, hi in zip("xyz", *R.world_box((114.0, 23.2, 200), (114.2, 23.3, 220)))) + ")",
-    "boxes_batch": f"with {_POINT_V} select p_partkey box_id, count(*) points from part, point_v where p_partkey<=100 and x between 4144000+p_partkey*9 and 4144020+p_partkey*9 and y between 647000+p_partkey*8 and 647030+p_partkey*8 and z between -2700 and -2500 group by 1",
     "boxes_all": f"with {_POINT_V} select p_partkey box_id, count(*) points from part, point_v where x between 4144000+p_partkey*9%980 and 4144020+p_partkey*9%980 and y between 647000+p_partkey*8%970 and 647030+p_partkey*8%970 and z between -2700 and -2500 group by 1",
     "voxel_cells": f"with {_VOXEL_V} select brick_key, {_morton('((i+8)//16)', '((j+8)//16)', '((k+4)//8)')} cell_4, {_morton('(i+8)', '(j+8)', '(k+4)')} cell_8 from voxel_v",
     "voxel_grid": f"with {_VOXEL_V} select 10::double dx, 10::double dy, 5::double dz, greatest(-min(i),0) bi, greatest(-min(j),0) bj, greatest(-min(k),0) bk, count(*) n, 0::bigint mismatched from voxel_v",
@@ -438,28 +595,49 @@ select row_key, time_millis, (case when sim_id is null then null when sim_id=''
     "volume_mask_cells": _MASK + " select model_id, time_ms, kept from kept",
     "volume_export": f"with {_VOLUME_V} select model_id, time_ms, 64::int cells, round(list_sum(list_transform(vals, lambda v: v::double)),4) total from volume_v",
     "volume_types": f"with {_VOLUME_V} select model_type, count(*) models from volume_v group by 1",
-    "brick_meta": f"with {_VOLUME_V} select model_id||'|'||time_ms||'|0|0|0' brick_key, 4::int meta_nx from volume_v where model_type='layered'",
+    "brick_meta": f"with {_VOLUME_V} select model_id||'|'||time_ms||'|0|0|0' brick_key, case when model_type='layered' then 4::int end meta_nx, model_type<>'layered' skipped from volume_v",
     "parse_sensor": "select user_id::varchar sensor_id, event_type sensor_type, count(*) n, min(epoch_ms(date_trunc('second',ts))) first_ms, max(event_id%1000)::double max_lon from events where event_id%10<>3 group by 1,2",
     "export_sensor_csv": f"with {_SENSOR_V} select strftime(ts,'%Y-%m-%d %H:%M:%S') \"Time\", sensor_id \"ID\", longitude \"Longitude\", latitude \"Latitude\", altitude \"Altitude\", sensor_type \"Type\", row_key \"RowKey\" from sensor_v",
     "export_sensor_json": f"with {_SENSOR_V} select row_key, sensor_type \"type\", time_ms \"time\" from sensor_v",
     "export_raw_csv": "select replace(raw_line,chr(9),',') \"value\" from geosim_voxel_line where raw_line is not null",
-    "selectivity_report": "select * from (values " + ", ".join(f"('{n}',{_d(P.selectivity(*c))})" for n, c in _SENSOR.items()) + ") v(query, estimate)",
-    "sim_point_capped": _CAPPED,
+    "selectivity_report": "select * from (values " + ", ".join(f"('{n}', {'*'.join(map(_selectivity_sql, c))})" for n, c in _SENSOR.items()) + ") v(query, estimate)",
+    "unified_key_kinds": f"""with {_POINT_V}, p as (select point_v.*, {", ".join(f"(({_index_of_point(a)}) >> 12) << 12 g{a}" for a in "xyz")} from point_v, {_KEY_BOUNDS} b),
+ k as (select dk, time_ms, {_morton('gx', 'gy', 'gz')} cell, unnest(['id','temp','vx','vy','vz']) kind, unnest([1,2,3,4,5]) num,
+  unnest([{_fnv('sim_id')} & 2147483647, trunc(t/2)::bigint, floor(vx/1e-4::double)::bigint+2147483648, floor(vy/1e-4::double)::bigint+2147483648, floor(vz/1e-3::double)::bigint+2147483648]) attr from p)
+select dk, kind, upper('0'||num||lpad(to_hex(attr & 4294967295),8,'0')||lpad(to_hex(cell),16,'0')||lpad(to_hex(strftime(make_timestamp(time_ms*1000),'%Y%m%d')::int),8,'0')||lpad(to_hex(time_ms%86400000),8,'0')||'5F'||hex(dk)) key_hex from k""",
+    "point_cell_stats": f"""with {_CELLED}, s as (select sim_id='2' a, {_IN_CELLS} b, {_DAYS} c, {_POINT_BOX} d, {_TIME} e from p, c),
+ n as (select count(*) scanned, count(*) filter (a) by_id, count(*) filter (a and b) in_cells, count(*) filter (a and b and c) in_days, count(*) filter (a and b and c and d) in_box, count(*) filter (a and b and c and d and e) in_time from s)
+select *, case when by_id>0 then round(in_time/by_id,6) else 0 end "precision" from n""",
+    "rows_refused": f"with {_CELLED} select dk from p, c where {_IN_CELLS} and not ({_POINT_BOX})",
+    "keys_missing": f"select entry_id from volume_idx_unified where {_KEYN.format(c='dk')} is null or {_KEYN.format(c='dk')} not in (select {_KEYN.format(c='row_key')} from volume_brick_data where {_KEYN.format(c='row_key')} is not null)",
+    "keys_probe": f"with {_POINT_V} select dk, sim_id from point_v where {_between(TEMP, 't')} and {_POINT_BOX} and vx between 0 and 1e-6::double and vy between 0 and 1e-6::double",
+    "volume_tile_many": f"with {_GRID_V} select brick_key, 2048::int cells, filled, total from ({_GRID_TILE})",
+    "volume_cells_many": f"with {_GRID_V} select brick_key, gi, gj, gk, {_morton('gi', 'gj', 'gk')} z_cell, true indexed from brick_v",
+    "volume_coverage_many": f"with {_GRID_HIT} select model_id, time_ms, hit, 8::bigint bricks, round(hit/8, 6) ratio from hits",
+    "volume_mask_many": f"with {_GRID_KEPT} select model_id, time_ms, kept::int kept, filled::int filled, (8-hit)::int missing from kept join hits using (model_id, time_ms)",
+    "volume_mask_cells_many": f"with {_GRID_KEPT} select model_id, time_ms, kept from kept",
+    "volume_mask_report": f"with {_GRID_KEPT} select model_id||', '||strftime(make_timestamp(time_ms*1000),'%Y-%m-%dT%H:%M:%SZ')||', 3600, '||kept||', '||printf('%.4f', kept/3600)||', '||(8-hit) \"value\" from kept join hits using (model_id, time_ms)",
+    "volume_export_many": f"with {_GRID_V} select model_id, time_ms, 3600::int cells, round(sum(v::double), 4) total from cell_v group by 1, 2",
+    "brick_export": f"with {_GRID_HIT}, t as ({_GRID_TILE}) select model_id, strftime(make_timestamp(time_ms*1000),'%Y-%m-%dT%H:%M:%SZ') time_iso, time_ms time_millis, model_type, i tile_i, j tile_j, k tile_k, 20::int nx, filled from hit join t using (brick_key)",
+    "volume_load_reasons": "select case vec_id%10 when 1 then 'nx' when 3 then 'model_id' when 5 then 'columns' when 2 then 'payload' when 4 then 'payload' when 6 then 'payload' when 7 then 'payload' end error, count(*) \"lines\" from embeddings group by 1",
+    "export_envelope": "select count(*) total_count from events",
+    "export_raw_json": "with v as (select case when contains(raw_line, chr(9)) then string_split(raw_line, chr(9)) else string_split(raw_line, ',') end f from geosim_point_line where raw_line is not null and not contains(raw_line,'\"') and not contains(raw_line, chr(92))) select trim(f[1]) sim_id, trim(f[10]) vz, count(*) n from v group by 1, 2",
 }
 for _n, _c in _SENSOR.items():
     for _e in ("", "_incremental"):
         if _n + _e in QUERIES:
             ORACLES[_n + _e] = f"with {_SENSOR_V} select row_key, time_ms, sensor_id, longitude, latitude, altitude, sensor_type from sensor_v where {' and '.join(map(_cond_sql, _c))}"
 for _n, _w in (("sim_point", "sim_id='2'"), ("sim_point_temp", _between(TEMP, "t")), ("sim_point_vel", _PVEL)):
-    for _e in E.ENGINES:
-        ORACLES[f"{_n}_{_e}"] = f"with {_POINT_V} select dk, sim_id, time_ms, x, y, z, t from point_v where {_w} and {_POINT_BOX} and {_TIME}"
+    for _e in (f"{_n}_{e}" for e in E.ENGINES):
+        ORACLES[_e] = ORACLES[f"stored_{_n}"] = f"with {_POINT_V} select dk, sim_id, time_ms, x, y, z, t from point_v where {_w} and {_POINT_BOX} and {_TIME}"
 for _n, _w in (("sim_voxel", "sim_id='2/3'"), ("sim_voxel_temp", _between(TEMP, "t")), ("sim_voxel_vel", _VVEL)):
-    for _e in E.ENGINES:
-        ORACLES[f"{_n}_{_e}"] = f"with {_VOXEL_V} select brick_key, sim_id, t, vx from voxel_v where {_w} and {_OVER} and {_TIME}"
+    for _e in (f"{_n}_{e}" for e in E.ENGINES):
+        ORACLES[_e] = ORACLES[f"stored_{_n}"] = f"with {_VOXEL_V} select brick_key, sim_id, t, vx from voxel_v where {_w} and {_OVER} and {_TIME}"
 for _l in (4, 6, 8):
     ORACLES[f"sim_voxel_indexed_l{_l}"] = f"with {_VOXEL_V} select brick_key, sim_id, t, vx from voxel_v where sim_id='2/3' and {_OVER} and {_TIME} and {_indexed_sql(_l)}"
 for _e in ("unified", "incremental"):
     ORACLES[f"volume_bricks_{_e}"] = f"with {_VOL_HIT} select brick_key, model_id, time_ms from hit"
+ORACLES["stored_sensor_spatial"], ORACLES["stored_volume_bricks"] = ORACLES["sensor_spatial"], ORACLES["volume_bricks_unified"]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

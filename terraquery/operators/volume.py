@@ -152,3 +152,12 @@ def masked_cells(hits: DataFrame, box: P.Box) -> DataFrame:
     n = F.size(F.filter(F.sequence(F.lit(0), F.lit(CELLS - 1)), inside))
     return hits.withColumn("n", n).groupBy("model_id", "time_ms").agg(F.sum("n").cast("bigint").alias("kept"))
 
+
+def with_meta(bricks: DataFrame, meta: DataFrame) -> DataFrame:
+    """Bricks with their model's metadata, by model and time; ``skipped`` where there is none.
+
+    Where a model and time have several rows of metadata, each gives a row.
+    """
+    on = ["model_id", "time_ms"]
+    found = bricks.join(meta.withColumn("__meta", F.lit(True)), on, "left")
+    return found.withColumn("skipped", F.col("__meta").isNull()).drop("__meta")

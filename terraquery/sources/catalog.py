@@ -59,13 +59,14 @@ def table_of(layout: str) -> str:
     return "facts" if layout == "unified" else f"facts_{layout}"
 
 
-def write_facts(df: DataFrame, root: str, family: str, dataset: str, layout: str = "unified", partitions: int | None = None) -> str:
+def write_facts(df: DataFrame, root: str, family: str, dataset: str, layout: str = "unified", partitions: int | None = None, row_group: int | None = None) -> str:
     """Write facts by month, range-partitioned and sorted by attribute and Morton code.
 
     Rows that are near in space lie in the same row groups, whose bounds of index
     columns, code and day let a scan skip them; the range partition takes the place of
     region pre-splitting.  Codes of negative indices are those of their low bits, so they
-    only affect the order.
+    only affect the order.  ``row_group`` is the size of a row group in bytes, by default
+    the writer's.
     """
     path = path_of(root, family, dataset, table_of(layout))
     lead = LEADING[family][layout]
@@ -73,7 +74,8 @@ def write_facts(df: DataFrame, root: str, family: str, dataset: str, layout: str
     df = df.withColumn("month", F.floor(F.col("day_bucket") / 100).cast("int")).withColumn("z_code", C.morton(*index))
     by = ["month", *([lead] if lead else []), "z_code"]
     df = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    df.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("month").parquet(path)
+    out = df.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("month")
+    (out.option("parquet.block.size", row_group) if row_group else out).parquet(path)
     return path
 
 
@@ -119,6 +121,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+
+
 def tables(spark: SparkSession, root: str, dataset: str) -> list[str]:
     """Folders of exactly this dataset, in every family."""
     return [p for f in sorted(FAMILIES) if exists(spark, p := f"{root}/{f}/{checked(dataset)}")]

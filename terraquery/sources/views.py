@@ -53,3 +53,15 @@ def volumes(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("case when label % 2 = 0 then 'channelized' else 'layered' end").alias("model_type"),
         *[c.alias(f"{a}_min") for a, c in low.items()], *[(c + F.lit(span[a])).alias(f"{a}_max") for a, c in low.items()],
         *[F.lit(4).alias(n) for n in ("nx", "ny", "nz")], F.col("embedding").cast("array<float>").alias("vals"))
+
+
+def grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of 20 x 18 x 10 cells, eight bricks each, filled from the embeddings; one cell in 97 has no data."""
+    low = {"lon": F.expr("cast(113.25 as double) + (vec_id % 16) * cast(0.0625 as double)"), "lat": F.expr("cast(22.25 as double) + ((vec_id div 16) % 16) * cast(0.0625 as double)"), "z": F.expr("(vec_id % 4) * cast(62.5 as double)")}
+    size = {"lon": 20 * 0.00390625, "lat": 18 * 0.00390625, "z": 10 * 7.8125}
+    cell = F.expr("transform(sequence(0, 3599), p -> if((p + vec_id) % 97 = 0, cast(-9999 as float), cast(embedding[(p * 7 + vec_id) % 64] as float)))")
+    return table(spark, sf, "embeddings").select(
+        F.expr("concat('G', cast(vec_id as string))").alias("model_id"), F.expr("1762300800000 + vec_id * 3600000").alias("time_ms"),
+        F.expr("case when label % 2 = 0 then 'channelized' else 'layered' end").alias("model_type"),
+        *[c.alias(f"{a}_min") for a, c in low.items()], *[(c + F.lit(size[a])).alias(f"{a}_max") for a, c in low.items()],
+        F.lit(20).alias("nx"), F.lit(18).alias("ny"), F.lit(10).alias("nz"), cell.alias("vals"))
