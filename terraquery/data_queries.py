@@ -158,8 +158,8 @@ ORACLES = {
  c as (select z_cell k, count(*) n, sum(count(*)) over () tot from chunk_task group by 1)
 select 'geosim_point_data.sim_id' field_name, k key_text from s where k is not null and n*100>=tot*3
 union all select 'chunk_task.z_cell', cast(k as varchar) from c where k is not null and n*100>=tot*3""",
-    "p1_sim_stats": f"""with p as (select {_SIM} sim_id, time_millis, case when t is not null and isfinite(t) and t<>-9999 then t end t from geosim_point_data where sim_id is not null and time_millis is not null),
- g as (select sim_id, time_millis, t, time_millis - lag(time_millis) over (partition by sim_id order by time_millis) gap from p)
+    "p1_sim_stats": f"""with p as (select {_SIM} sim_id, time_millis, case when t is not null and isfinite(t) and t<>-9999 then t end t from geosim_point_data where sim_id is not null),
+ g as (select sim_id, time_millis, t, time_millis - lag(time_millis) over (partition by sim_id, time_millis is null order by time_millis) gap from p)
 select sim_id, count(*) n, min(time_millis) first_millis, max(time_millis) last_millis, coalesce(max(gap),0) max_gap, round(avg(t),4) mean_t from g group by 1""",
     "p1_cell_tasks": """select coalesce(a.z_cell,b.z_cell) z_cell, coalesce(tasks,0) tasks, coalesce(entries,0) entries, coalesce(tasks,0)*coalesce(entries,0) pairs
 from (select z_cell, count(*) tasks from chunk_task where z_cell is not null group by 1) a

@@ -42,14 +42,17 @@ def balanced_aggregate(df: DataFrame, key: Sequence[str], order: Sequence[str],
 
 
 def _runs(key: str, order: str, value: str):
+    names = [key, "unknown", "n", "first", "last", "gap", "nv", "sv"]
+
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One state per run of equal keys; a run may go on over batches."""
-        open_: list | None = None  # key, n, first, last, max_gap, n_value, sum_value
+        """One state per run of equal keys, of rows with and without an order; a run may go on over batches."""
+        open_: list | None = None  # key, unknown, n, first, last, max_gap, n_value, sum_value
         for pdf in batches:
             if pdf.empty:
                 continue
             k = pdf[key]
-            code = k.ne(k.shift()) & ~(k.isna() & k.shift().isna())
+            unknown = pdf["unknown"]
+            code = k.ne(k.shift()) & ~(k.isna() & k.shift().isna()) | unknown.ne(unknown.shift())
             code.iloc[0] = True
             starts = np.flatnonzero(code.to_numpy())
             ends = np.append(starts[1:], len(pdf)) - 1
@@ -61,7 +64,7 @@ def _runs(key: str, order: str, value: str):
             gap[starts] = 0
             out = {
                 "k": [None if pd.isna(x) else x for x in k.iloc[starts]],
-                "n": (ends - starts + 1).tolist(), "first": o[starts].tolist(), "last": o[ends].tolist(),
+                "unknown": unknown.to_numpy(bool)[starts].tolist(), "n": (ends - starts + 1).tolist(), "first": o[starts].tolist(), "last": o[ends].tolist(),
                 "gap": np.maximum.reduceat(gap, starts).tolist(),
                 "nv": np.add.reduceat(ok.astype("int64"), starts).tolist(),
                 "sv": np.add.reduceat(np.where(ok, v, 0.0), starts).tolist(),
@@ -69,15 +72,15 @@ def _runs(key: str, order: str, value: str):
             rows = [list(r) for r in zip(*out.values())]
             if open_ is not None:
                 head = rows[0]
-                if head[0] == open_[0]:
-                    rows[0] = [head[0], open_[1] + head[1], open_[2], head[3], max(open_[4], head[4], head[2] - open_[3]), open_[5] + head[5], open_[6] + head[6]]
+                if head[:2] == open_[:2]:
+                    rows[0] = [*head[:2], open_[2] + head[2], open_[3], head[4], max(open_[5], head[5], head[3] - open_[4]), open_[6] + head[6], open_[7] + head[7]]
                 else:
                     rows.insert(0, open_)
             open_ = rows.pop()
             if rows:
-                yield pd.DataFrame(rows, columns=[key, "n", "first", "last", "gap", "nv", "sv"])
+                yield pd.DataFrame(rows, columns=names)
         if open_ is not None:
-            yield pd.DataFrame([open_], columns=[key, "n", "first", "last", "gap", "nv", "sv"])
+            yield pd.DataFrame([open_], columns=names)
 
     return reduce
 
@@ -88,20 +91,23 @@ def ordered_runs(df: DataFrame, key: str, order: str, value: str, partitions: in
     ``max_gap`` (the longest step between neighbours in order) needs the rows of a
     key in order, so the partial states are ordered too and the gap between one
     partition's last and the next one's first row is added when they are stitched.
-    Rows with a null order count in ``n`` of no key and are left out; null and NaN
-    values do not enter the mean, which is null where no value is left.
+    Rows with a null order count in ``n`` and ``mean`` of their key, but have no place
+    in its order; null and NaN values do not enter the mean, which is null where no value
+    is left.
     """
-    narrow = df.select(key, F.col(order).cast("bigint").alias(order), F.col(value).cast("double").alias(value)).where(F.col(order).isNotNull())
-    part = ranged(narrow, [key], [order], partitions).sortWithinPartitions(key, order)
+    o = F.col(order).cast("bigint")
+    narrow = df.select(key, o.isNull().alias("unknown"), F.coalesce(o, F.lit(0)).alias(order), F.col(value).cast("double").alias(value))
+    part = ranged(narrow, [key, "unknown"], [order], partitions).sortWithinPartitions(key, "unknown", order)
     kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), *[T.StructField(c, T.LongType()) for c in ("n", "first", "last", "gap", "nv")], T.StructField("sv", T.DoubleType())])
+    schema = T.StructType([T.StructField(key, kind), T.StructField("unknown", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n", "first", "last", "gap", "nv")], T.StructField("sv", T.DoubleType())])
     states = part.mapInPandas(_runs(key, order, value), schema)
     # A key has at most one state per range partition: the window is that small.
-    w = Window.partitionBy(key).orderBy("first", "last")
+    w = Window.partitionBy(key, "unknown").orderBy("first", "last")
     seen = states.withColumn("step", F.col("first") - F.lag("last").over(w))
+    known = lambda c: F.when(~F.col("unknown"), F.col(c))
     return seen.groupBy(key).agg(
-        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
-        F.greatest(F.max("gap"), F.max("step")).alias("max_gap"),
+        F.sum("n").alias("n"), F.min(known("first")).alias("first"), F.max(known("last")).alias("last"),
+        F.greatest(F.max(known("gap")), F.max(known("step"))).alias("max_gap"),
         F.when(F.sum("nv") > 0, F.sum("sv") / F.sum("nv")).alias("mean"),
     )
 

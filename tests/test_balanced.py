@@ -12,7 +12,7 @@ def rows(n=6000, seed=4):
     rng = random.Random(seed)
     keys = ["hot"] * 4 + ["warm"] * 2 + [None] + [f"k{i}" for i in range(30)]
     out = [(rng.choice(keys[:7]) if rng.random() < 0.8 else rng.choice(keys), rng.choice([5, 5, 5, rng.randint(0, 10_000)]), rng.choice([None, float("nan"), 1.5, 2.5])) for _ in range(n)]
-    return out + [("hot", 77, 1.0)] * 3000 + [("late", None, 1.0)]
+    return out + [("hot", 77, 1.0)] * 3000 + [("late", None, 1.0)] * 2 + [("hot", None, 2.0), (None, None, None)]
 
 
 def test_ordered_runs(spark):
@@ -21,15 +21,14 @@ def test_ordered_runs(spark):
     got = {r["k"]: r for r in B.ordered_runs(df, "k", "o", "v", 7).collect()}
     want = defaultdict(list)
     for k, o, v in data:
-        if o is not None:
-            want[k].append((o, v))
+        want[k].append((o, v))
     assert set(got) == set(want)
     for k, x in want.items():
-        o = sorted(a for a, _ in x)
+        o = sorted(a for a, _ in x if a is not None)
         v = [b for _, b in x if b is not None and b == b]
         r = got[k]
-        assert (r["n"], r["first"], r["last"]) == (len(o), o[0], o[-1])
-        assert r["max_gap"] == max([b - a for a, b in zip(o, o[1:])], default=0)
+        assert (r["n"], r["first"], r["last"]) == (len(x), *((o[0], o[-1]) if o else (None, None)))
+        assert r["max_gap"] == (max([b - a for a, b in zip(o, o[1:])], default=0) if o else None)
         assert (r["mean"] is None) == (not v) and (not v or abs(r["mean"] - sum(v) / len(v)) < 1e-9)
 
 
