@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraquery import line_twins
 from terraquery.functions.keys import once, point_sim_id, row_key_text, trimmed
 from terraquery.operators import balanced, nearby, references
 from terraquery.sources import lines
@@ -154,6 +155,10 @@ near_ as (select distinct a.k key_a, b.k key_b from cells a,
     and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.4005*0.4005)"""
 
 ORACLES = {
+    "p5_found": line_twins.failed(LINE_TABLES, "table_name, line_id"),
+    "p5_reasons": line_twins.failed(LINE_TABLES, "table_name, line_id, split_part(errors[1],':',1) reason, array_to_string(errors,',') errors"),
+    "p5_points": line_twins.typed("geosim_point_line", lines.POINT_LINES),
+    "p5_voxels": line_twins.typed("geosim_voxel_line", lines.VOXEL_LINES),
     "p1_found": f"""with s as (select {_SIM} k, count(*) n, sum(count(*)) over () tot from geosim_point_data group by 1),
  c as (select z_cell k, count(*) n, sum(count(*)) over () tot from chunk_task group by 1)
 select 'geosim_point_data.sim_id' field_name, k key_text from s where k is not null and n*100>=tot*3
