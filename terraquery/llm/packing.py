@@ -1,15 +1,21 @@
 """Containers of a fixed number of tokens, filled with lexically related documents.
 
-Documents go to shards of a few thousand by a range partition on their most telling
-word, so that a shard holds related texts and no word, however common, makes a large
-shard.  Every shard has its own BM25 inverted index; word statistics are those of the
-whole corpus.  The largest unused document of the shard is the seed of a container; the
-index returns the unused neighbours of the seed, which greedily fill the container, and
-the last gap is closed by the neighbour that fits it best.  What the shards leave over
-in poorly filled containers is packed once more, in shards of its own.
+Documents go to shards of a few thousand by their most telling word, whole words to a
+shard where they fit and a common word to several, so that a shard holds related texts
+and no word makes a large shard.  Every shard has its own BM25 inverted index; word
+statistics are those of the whole corpus.  The largest unused document of the shard is
+the seed of a container; the index returns the unused neighbours of the seed, which
+greedily fill the container, and the last gap is closed by the neighbour that fits it
+best.  What the shards leave over in poorly filled containers is packed once more, in
+the shards of the second most telling words.
+
+A seed is looked up in its own shard alone: a search of all shards for every seed would
+grow with the square of the corpus, and a document can be used only once, which shards
+can't settle between each other.
 
 Only a document of more than the capacity is split: into full containers and a rest,
-which is packed like a document.
+which is packed like a document.  Shards and containers depend on the documents alone,
+so they are the same in every run.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquery.llm.tokens import vocabulary_size
+from terraquery.llm.tokens import TOKENIZERS, vocabulary_size
 from terraquery.session import written
 
 CAPACITY = 2048
@@ -31,16 +37,16 @@ SHARD_DOCS = 2000
 WELL_FILLED = 0.985
 K1, B = 1.2, 0.75
 
-_ITEM = "doc_id {0}, part int, size int, tokens int, words array<int>, counts array<smallint>, rank int"
-_OUT = "container string, doc_id {0}, part int, size int, fill double, tokens int, words array<int>, counts array<smallint>, rank int"
+_ITEM = "doc_id {0}, part int, size int, tokens int, words array<int>, counts array<int>, first int, second int"
+_OUT = "container string, doc_id {0}, part int, size int, fill double, tokens int, words array<int>, counts array<int>, first int, second int"
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
+def word_counts(docs: DataFrame, folder: str = TOKENIZERS) -> np.ndarray:
     """In how many documents each term occurs, over all documents.
 
     One number for each entry of the tokenizer's vocabulary, whatever the corpus.
     """
-    size = vocabulary_size()
+    size = vocabulary_size(folder)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(size, "int64")
@@ -125,48 +131,72 @@ def fill_containers(size: np.ndarray, index: ShardIndex, capacity: int) -> list[
     return made
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def sharded(items: DataFrame, word: str, shard_docs: int) -> DataFrame:
+    """``items`` with a ``shard`` of about ``shard_docs`` each.
+
+    Words in order share a shard until it is full; a word of more documents has shards of
+    its own, among which a hash of the id decides.  There is a row for each word of the
+    tokenizer's vocabulary at most, so the list of words is small whatever the corpus.
+    """
+    counts = sorted((-1 if w is None else w, n) for w, n in items.groupBy(word).agg(F.count(F.lit(1)).alias("n")).collect())
+    rows, shard, room = [], -1, 0
+    for w, n in counts:
+        if n > shard_docs:
+            k = -(-n // shard_docs)
+            rows.append((w, shard + 1, k))
+            shard, room = shard + k, 0
+        else:
+            if n > room:
+                shard, room = shard + 1, shard_docs
+            rows.append((w, shard, 1))
+            room -= n
+    of = items.sparkSession.createDataFrame(rows, "__word int, __shard int, __of int")
+    found = items.join(F.broadcast(of), F.coalesce(F.col(word), F.lit(-1)) == F.col("__word"))
+    place = F.pmod(F.xxhash64("doc_id", "part"), F.col("__of")).cast("int")
+    return found.withColumn("shard", F.col("__shard") + place).drop("__word", "__shard", "__of")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, folder: str = TOKENIZERS) -> DataFrame:
     """``container, doc_id, part, size, fill`` for ``docs`` of ``token_words``.
 
     Documents without a token need no room and are in no container.  ``part`` numbers the
     pieces of a split document from 0; ``fill`` is the used share of the container.
+    ``folder`` is that of the tokenizer that made the words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     docs = docs.where(F.col("tokens") > 0)
-    n, mean, rests = docs.agg(F.count(F.lit(1)), F.avg("tokens"), F.count_if(F.col("tokens") % capacity > 0)).first()
-    df = word_counts(docs)
+    n, mean = docs.agg(F.count(F.lit(1)), F.avg("tokens")).first()
+    df = word_counts(docs, folder)
     n = n or 0
     # common words (in over half of all documents) weigh nothing
     idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0)
     table = spark.sparkContext.broadcast(idf.astype("float32"))
+    df_seen = spark.sparkContext.broadcast(np.minimum(df, 2).astype("int8"))
 
     full = docs.where(F.col("tokens") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("tokens") / capacity).cast("int") - 1)).alias("part"))
     full = full.select(F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("container"), "doc_id", "part", F.lit(capacity).alias("size"), F.lit(1.0).alias("fill"))
 
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The most telling word of each document: greatest tf-idf among words others have too."""
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The two most telling words of each document: greatest tf-idf among words others have too."""
         weight = np.where(df_seen.value > 1, table.value, 0.0)
         for pdf in batches:
-            pdf["rank"] = np.array([int(w[np.argmax(np.sqrt(c) * weight[w])]) if len(w) else -1 for w, c in zip(pdf["words"], pdf["counts"])], "int32")
+            best = np.full((len(pdf), 2), -1, "int32")
+            for i, (w, c) in enumerate(zip(pdf["words"], pdf["counts"])):
+                at = np.argsort(-np.sqrt(c) * weight[w], kind="stable")[:2]
+                best[i, : len(at)] = w[at]
+            pdf["first"], pdf["second"] = best.T
             yield pdf
 
-    df_seen = spark.sparkContext.broadcast(np.minimum(df, 2).astype("int8"))
     items = docs.where(F.col("tokens") % capacity > 0).select(
-        "doc_id", F.floor(F.col("tokens") / capacity).cast("int").alias("part"), (F.col("tokens") % capacity).cast("int").alias("size"), "tokens", "words", "counts", F.lit(0).alias("rank"))
-    items = items.mapInPandas(rank, _ITEM.format(kind))
+        "doc_id", F.floor(F.col("tokens") / capacity).cast("int").alias("part"), (F.col("tokens") % capacity).cast("int").alias("size"), "tokens", "words", "counts", F.lit(0).alias("first"), F.lit(0).alias("second"))
+    items = written(items.mapInPandas(telling, _ITEM.format(kind)))
 
     def boxed(round_: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyspark import TaskContext
-
-            pdf = pd.concat([b for b in batches if len(b)] or [pd.DataFrame()], ignore_index=True)
-            if not len(pdf):
-                return
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["doc_id", "part"], ignore_index=True)
-            size = pdf["size"].to_numpy("int64")
+            size, shard = pdf["size"].to_numpy("int64"), int(pdf["shard"].iloc[0])
             index = ShardIndex(pdf["words"].to_list(), pdf["counts"].to_list(), pdf["tokens"].to_numpy("float64"), table.value, mean)
-            shard = TaskContext.get().partitionId()
             names, fills, at = [], [], []
             for k, box in enumerate(fill_containers(size, index, capacity)):
                 fill = float(size[box].sum()) / capacity
@@ -174,20 +204,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
                 fills += [fill] * len(box)
                 at += box
             out = pdf.iloc[at].assign(container=names, fill=fills)
-            if round_ == "a":
-                done = out["fill"].to_numpy() >= WELL_FILLED
-            else:
-                done = np.ones(len(out), bool)
+            done = out["fill"].to_numpy() >= WELL_FILLED if round_ == "a" else np.ones(len(out), bool)
             out["words"] = [None if d else w for d, w in zip(done, out["words"])]
             out["counts"] = [None if d else c for d, c in zip(done, out["counts"])]
-            yield out[["container", "doc_id", "part", "size", "fill", "tokens", "words", "counts", "rank"]]
+            return out[["container", "doc_id", "part", "size", "fill", "tokens", "words", "counts", "first", "second"]]
 
         return run
 
-    shards = max(1, -(-(rests or 0) // shard_docs))
-    first = written(items.repartitionByRange(shards, "rank", "doc_id").mapInPandas(boxed("a"), _OUT.format(kind)))
-    rest = first.where(F.col("words").isNotNull())
-    again = max(1, -(-rest.count() // shard_docs))
-    second = rest.select("doc_id", "part", "size", "tokens", "words", "counts", "rank").repartitionByRange(again, "rank", "doc_id").mapInPandas(boxed("b"), _OUT.format(kind))
+    first = written(sharded(items, "first", shard_docs).groupBy("shard").applyInPandas(boxed("a"), _OUT.format(kind)))
+    rest = first.where(F.col("words").isNotNull()).drop("container", "fill")
+    second = sharded(rest, "second", shard_docs).groupBy("shard").applyInPandas(boxed("b"), _OUT.format(kind))
     cols = ["container", "doc_id", "part", "size", "fill"]
     return full.unionByName(first.where(F.col("words").isNull()).select(*cols)).unionByName(second.select(*cols))

@@ -49,7 +49,7 @@ class Tokenizer:
         """Tokens, the distinct terms in order, and how often each occurs."""
         ids = np.asarray(self.encoding.encode_ordinary(text) if text else [], "int32")
         terms, n = np.unique(ids[self.is_term[ids]], return_counts=True)
-        return len(ids), terms, np.minimum(n, 32767).astype("int16")
+        return len(ids), terms, n.astype("int32")
 
 
 def vocabulary_size(folder: str = TOKENIZERS) -> int:
@@ -82,4 +82,4 @@ def token_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
             got = [tok.read(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [g[0] for g in got], "words": [g[1] for g in got], "counts": [g[2] for g in got]})
 
-    return rows.mapInPandas(run, f"doc_id {kind}, tokens int, words array<int>, counts array<smallint>")
+    return rows.mapInPandas(run, f"doc_id {kind}, tokens int, words array<int>, counts array<int>")

@@ -56,6 +56,19 @@ def test_neighbours_are_related(spark):
     assert np.mean(same) > 0.75
 
 
+def test_same_containers_however_the_input_is_split(spark):
+    words = K.token_words(docs(spark)).cache()
+    a, b = ({tuple(r) for r in P.pack(w, 512, 60).collect()} for w in (words, words.repartition(7)))
+    assert a == b
+
+
+def test_shards_of_a_common_word(spark):
+    items = spark.createDataFrame([(i, 0, 7 if i < 500 else i % 50 + 10 if i < 900 else None) for i in range(950)], "doc_id long, part int, first int")
+    sizes = {r["shard"]: (r["n"], r["words"]) for r in P.sharded(items, "first", 100).groupBy("shard").agg(F.count("*").alias("n"), F.collect_set("first").alias("words")).collect()}
+    assert sum(n for n, _ in sizes.values()) == 950 and max(n for n, _ in sizes.values()) < 150
+    assert sum(7 in w for _, w in sizes.values()) == 5 and all(w == [7] for _, w in sizes.values() if 7 in w)
+
+
 def test_scores_against_brute_force():
     rng = np.random.default_rng(1)
     n, vocab = 40, 60
