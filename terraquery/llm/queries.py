@@ -67,6 +67,16 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("used"), F.first("fill").alias("fill"))
 
 
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each document is in the containers once and whole, and none of these is too full."""
+    words = written(tokens.token_words(_docs(spark, sf)))
+    df = written(packing.pack(words))
+    full = df.groupBy("container").agg(F.sum("size").alias("used"))
+    rows = df.join(full, "container").groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"), F.max("used").alias("used"))
+    sound = (F.col("size") == F.col("tokens")) & (F.col("last") + 1 == F.col("parts")) & (F.col("parts") == F.ceil(F.col("tokens") / packing.CAPACITY)) & (F.col("used") <= packing.CAPACITY)
+    return rows.join(words.select("doc_id", "tokens"), "doc_id").select("doc_id", sound.alias("sound"))
+
+
 # 7 - mixing sources to target weights
 
 
@@ -86,6 +96,21 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(items, targets, written(mixing.mixture(items, targets)))
 
 
+def p7_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source keeps to its repetitions, and to its target unless it is used up.
+
+    The sources that are not used up are served to one level; each may lag by a document.
+    """
+    items, targets = _sized(spark, sf)
+    s = written(mixing.shares(items, targets, written(mixing.mixture(items, targets))))
+    used_up = (F.col("draws") == F.col("documents") * F.col("max_repeats")) | (F.col("target_share") == 0)
+    level = s.where(~used_up).agg(F.max(F.col("tokens") / F.col("target_share"))).first()[0] or 0.0
+    largest = items.groupBy("source").agg(F.max("tokens").alias("largest"))
+    lag = F.lit(level) * F.col("target_share") - F.col("tokens")
+    kept = (F.col("copies") <= F.col("max_repeats")) & (used_up | (lag <= F.col("largest")))
+    return s.join(largest, "source", "left").select("source", "target_share", "max_repeats", "documents", kept.alias("kept"))
+
+
 # 8 - text cut off by field limits
 
 
@@ -112,7 +137,7 @@ def p8_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return _flagged(spark, sf).where("truncated").groupBy("source", "why").agg(F.count(F.lit(1)).alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_span, p2_days, p6_packing, p6_containers, p7_mixture, p7_shares, p8_found, p8_rates, p8_lengths, p8_reasons)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_span, p2_days, p6_packing, p6_containers, p6_documents, p7_mixture, p7_shares, p7_limits, p8_found, p8_rates, p8_lengths, p8_reasons)}
 
 _SIM = "regexp_replace(regexp_replace(sim_id,'^[\\x00-\\x20]+|[\\x00-\\x20]+$','','g'),'^([0-9]+)\\.0+$','\\1')"
 _PICKED = ", ".join(f"max(t) filter (rk = greatest(ceil({q}::double*n - 1e-9), 1)) {c}" for c, q in PROBS.items())
@@ -134,6 +159,10 @@ def _round_sql(peak: str, source: str) -> str:
 
 _CORE = "regexp_replace(regexp_replace(text,'\\n[_=-]{20,}\\n(?:[^\\n]+\\n?){1,3}\\s*$',''),'\\s*(\\[[^\\[\\]\\n]+\\]|\\([^()\\n]+\\)|\\.\\.\\.|…)\\s*$','')"
 ORACLES: dict[str, str] = {
+    "p6_documents": "select doc_id, true sound from documents where text <> ''",
+    "p7_limits": """with d as (select coalesce(lower(trim(source)),'') source, count(*) filter (text <> '') documents from documents group by 1),
+ t as (select coalesce(lower(trim(source)),'') source, target_share, max_repeats from source_weight)
+select coalesce(t.source, d.source) source, coalesce(target_share,0) target_share, coalesce(max_repeats,0)::int max_repeats, coalesce(documents,0) documents, true kept from t full join d on t.source=d.source""",
     "p8_lengths": f"""with t as (select distinct coalesce(lower(trim(source)),'') source, {_CORE} core from documents where text is not null and not regexp_full_match(text,'\\s*')),
  u as (select source, 'chars' unit, length(core)::int length from t union all select source, 'bytes', strlen(core)::int from t),
  h as (select source, unit, length, count(*) n from u group by all),
