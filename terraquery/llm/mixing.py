@@ -31,6 +31,11 @@ class Plan:
     rows: list[tuple]  # source, target, max_repeats, documents, tokens
 
 
+def one_row_each(targets: DataFrame) -> DataFrame:
+    """Targets with a row for each source: shares of repeated rows add up, the most repeats hold."""
+    return targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+
+
 def plan(items: DataFrame, targets: DataFrame, budget: int | None = None) -> Plan:
     """Total tokens per target source, the budget and its virtual time.
 
@@ -38,7 +43,7 @@ def plan(items: DataFrame, targets: DataFrame, budget: int | None = None) -> Pla
     It is lowered to what the repetitions can supply.
     """
     totals = items.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
-    rows = targets.join(totals, "source").select("source", "target_share", "max_repeats", "documents", "tokens").limit(MOST_SOURCES + 1).collect()
+    rows = one_row_each(targets).join(totals, "source").select("source", "target_share", "max_repeats", "documents", "tokens").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} target sources")
     known = [tuple(r) for r in rows if r["target_share"] and r["target_share"] > 0 and r["max_repeats"] and r["max_repeats"] > 0]
@@ -98,6 +103,6 @@ def shares(items: DataFrame, targets: DataFrame, drawn: DataFrame) -> DataFrame:
     have = items.groupBy("source").agg(F.count_if(F.col("tokens") > 0).alias("documents"), F.sum("tokens").alias("available"))
     got = drawn.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("draws"), F.max("copy").alias("copies"))
     total = got.agg(F.sum("tokens").alias("t")).first()["t"] or 0
-    df = targets.join(have, "source", "full").join(got, "source", "left").na.fill(0, ["target_share", "max_repeats", "documents", "available", "tokens", "draws", "copies"])
+    df = one_row_each(targets).join(have, "source", "full").join(got, "source", "left").na.fill(0, ["target_share", "max_repeats", "documents", "available", "tokens", "draws", "copies"])
     share = F.col("tokens") / F.lit(total) if total else F.lit(0.0)
     return df.select("source", "target_share", "max_repeats", "documents", "available", "tokens", "draws", "copies", F.round(share, 6).alias("actual_share"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquery.llm.tokens import TOKENIZERS, vocabulary_size
+from terraquery.llm.tokens import vocabulary_size
 from terraquery.session import written
 
 CAPACITY = 2048
@@ -41,7 +41,7 @@ _ITEM = "doc_id {0}, part int, size int, tokens int, words array<int>, counts ar
 _OUT = "container string, doc_id {0}, part int, size int, fill double, tokens int, words array<int>, counts array<int>, first int, second int"
 
 
-def word_counts(docs: DataFrame, folder: str = TOKENIZERS) -> np.ndarray:
+def word_counts(docs: DataFrame, folder: str) -> np.ndarray:
     """In how many documents each term occurs, over all documents.
 
     One number for each entry of the tokenizer's vocabulary, whatever the corpus.
@@ -156,7 +156,7 @@ def sharded(items: DataFrame, word: str, shard_docs: int) -> DataFrame:
     return found.withColumn("shard", F.col("__shard") + place).drop("__word", "__shard", "__of")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, folder: str = TOKENIZERS) -> DataFrame:
+def pack(docs: DataFrame, folder: str, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """``container, doc_id, part, size, fill`` for ``docs`` of ``token_words``.
 
     Documents without a token need no room and are in no container.  ``part`` numbers the

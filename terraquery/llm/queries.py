@@ -10,6 +10,8 @@ from terraquery.llm import mixing, packing, quantiles, tokens, truncation
 from terraquery.session import written
 
 NODATA = -9999.0
+#: Where the registered queries find the public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,8 +60,8 @@ def p2_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_packing(spark: SparkSession, sf: str) -> DataFrame:
-    words = written(tokens.token_words(_docs(spark, sf)))
-    return packing.pack(words)
+    words = written(tokens.token_words(_docs(spark, sf), TOKENIZERS))
+    return packing.pack(words, TOKENIZERS)
 
 
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +71,8 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each document is in the containers once and whole, and none of these is too full."""
-    words = written(tokens.token_words(_docs(spark, sf)))
-    df = written(packing.pack(words))
+    words = written(tokens.token_words(_docs(spark, sf), TOKENIZERS))
+    df = written(packing.pack(words, TOKENIZERS))
     full = df.groupBy("container").agg(F.sum("size").alias("used"))
     rows = df.join(full, "container").groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"), F.max("used").alias("used"))
     sound = (F.col("size") == F.col("tokens")) & (F.col("last") + 1 == F.col("parts")) & (F.col("parts") == F.ceil(F.col("tokens") / packing.CAPACITY)) & (F.col("used") <= packing.CAPACITY)
@@ -82,7 +84,7 @@ def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = _docs(spark, sf).withColumn("source", truncation.source_name(F.col("source")))
-    items = written(tokens.token_counts(docs, keep=("source",)))
+    items = written(tokens.token_counts(docs, TOKENIZERS, keep=("source",)))
     targets = spark.read.parquet(f"{sf}/source_weight.parquet")
     return items, targets.select(truncation.source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
 

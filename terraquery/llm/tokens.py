@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pre-splitting pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,12 +51,15 @@ class Tokenizer:
         return len(ids), terms, n.astype("int32")
 
 
-def vocabulary_size(folder: str = TOKENIZERS) -> int:
+def vocabulary_size(folder: str) -> int:
     return len(Tokenizer.at(folder).is_term)
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folder: str = TOKENIZERS) -> DataFrame:
-    """``doc_id``, ``keep`` and ``tokens`` (0 for a null or empty text)."""
+def token_counts(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``keep`` and ``tokens`` (0 for a null or empty text).
+
+    ``folder`` holds the tokenizer's vocabulary file, on every executor.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"))
     schema = rows.drop("__text").withColumn("tokens", F.lit(0)).schema
 
@@ -71,7 +73,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     return rows.mapInPandas(run, schema)
 
 
-def token_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
+def token_words(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, tokens`` and the distinct terms (``words``) of the whole text with their ``counts``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()

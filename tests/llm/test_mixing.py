@@ -63,6 +63,8 @@ def test_shares_and_edges(spark):
     items = items.drop("target")
     s = {r["source"]: r for r in M.shares(items, targets, M.mixture(items, targets)).collect()}
     assert abs(sum(r["actual_share"] for r in s.values()) - 1) < 1e-4
+    twice = targets.unionByName(targets.where("source = 'big'").selectExpr("source", "0.0 target_share", "1 max_repeats"))
+    assert {tuple(r) for r in M.mixture(items, twice).collect()} == {tuple(r) for r in M.mixture(items, targets).collect()} and M.shares(items, twice, M.mixture(items, twice)).count() == len(s)
     assert s["absent"]["tokens"] == 0 and s["none"]["target_share"] == 0 and s["none"]["tokens"] == 0 and s[None]["tokens"] == 0
     empty = items.where(F.lit(False))
     assert M.mixture(empty, targets).count() == 0 and M.shares(empty, targets, M.mixture(empty, targets)).count() == 4

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terraquery.llm import packing as P
 from terraquery.llm import tokens as K
+from terraquery.llm.queries import TOKENIZERS
 
 TOPICS = [["valve", "pressure", "pump", "steam", "leak", "gauge"], ["ledger", "invoice", "budget", "audit", "payment", "tax"], ["kernel", "thread", "cache", "compiler", "socket", "buffer"]]
 
@@ -21,16 +22,16 @@ def docs(spark, n=400, seed=2):
 
 def test_counts_are_the_tokenizers(spark):
     df = docs(spark)
-    tok = K.Tokenizer.at(K.TOKENIZERS)
+    tok = K.Tokenizer.at(TOKENIZERS)
     want = {r["doc_id"]: len(tok.encoding.encode_ordinary(r["text"])) if r["text"] else 0 for r in df.collect()}
-    assert {r["doc_id"]: r["tokens"] for r in K.token_counts(df).collect()} == want
-    assert {r["doc_id"]: r["tokens"] for r in K.token_words(df).collect()} == want
+    assert {r["doc_id"]: r["tokens"] for r in K.token_counts(df, TOKENIZERS).collect()} == want
+    assert {r["doc_id"]: r["tokens"] for r in K.token_words(df, TOKENIZERS).collect()} == want
 
 
 @pytest.mark.parametrize("shard_docs", [2000, 60])
 def test_containers(spark, shard_docs):
-    words = K.token_words(docs(spark)).cache()
-    rows = P.pack(words, 512, shard_docs).collect()
+    words = K.token_words(docs(spark), TOKENIZERS).cache()
+    rows = P.pack(words, TOKENIZERS, 512, shard_docs).collect()
     size = {r["doc_id"]: r["tokens"] for r in words.collect()}
     got, box = {}, {}
     for r in rows:
@@ -47,9 +48,9 @@ def test_containers(spark, shard_docs):
 
 
 def test_neighbours_are_related(spark):
-    words = K.token_words(docs(spark)).cache()
+    words = K.token_words(docs(spark), TOKENIZERS).cache()
     boxes = {}
-    for r in P.pack(words, 1024).collect():
+    for r in P.pack(words, TOKENIZERS, 1024).collect():
         if r["doc_id"] < 400:
             boxes.setdefault(r["container"], []).append(r["doc_id"] % 3)
     same = [max(np.bincount(b)) / len(b) for b in boxes.values() if len(b) > 1]
@@ -57,8 +58,8 @@ def test_neighbours_are_related(spark):
 
 
 def test_same_containers_however_the_input_is_split(spark):
-    words = K.token_words(docs(spark)).cache()
-    a, b = ({tuple(r) for r in P.pack(w, 512, 60).collect()} for w in (words, words.repartition(7)))
+    words = K.token_words(docs(spark), TOKENIZERS).cache()
+    a, b = ({tuple(r) for r in P.pack(w, TOKENIZERS, 512, 60).collect()} for w in (words, words.repartition(7)))
     assert a == b
 
 
@@ -88,5 +89,5 @@ def test_scores_against_brute_force():
 
 
 def test_empty(spark):
-    words = K.token_words(docs(spark).where(F.lit(False)))
-    assert P.pack(words).count() == 0
+    words = K.token_words(docs(spark).where(F.lit(False)), TOKENIZERS)
+    assert P.pack(words, TOKENIZERS).count() == 0
