@@ -209,6 +209,13 @@ def voxel_grid(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(*r.grid.step, *r.grid.bias, r.rows, r.mismatched)], "dx double, dy double, dz double, bi long, bj long, bk long, n long, mismatched long")
 
 
+def voxel_grid_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid of voxels of which some are longer than the first one."""
+    v = S.voxels(spark, sf).withColumn("x_max", F.col("x_max") + F.when(F.col("x_min") % 70 == 0, 5.0).otherwise(0.0))
+    r = E.voxel_grid(v, "brick_key")
+    return spark.createDataFrame([(*r.grid.step, *r.grid.extent, r.rows, r.mismatched)], "dx double, dy double, dz double, ex double, ey double, ez double, n long, mismatched long")
+
+
 def brick_versions(spark: SparkSession, sf: str) -> DataFrame:
     """The latest version of each stored brick, keys in either spelling."""
     d = S.table(spark, sf, "volume_brick_data").select(row_key_text(F.col("row_key")).alias("key"), "written_at", "t", "vx", "vy", "vz")
@@ -418,7 +425,7 @@ def selectivity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     z3d_encode, block_id_level, curve_code, fnv1a_hash, day_bucket, days_of_tasks, temp_bucket, vel_bucket, unified_key, unified_key_kinds, point_index_entries, z_ranges,
-    point_bounds, point_query_stats, point_cell_stats, keys_intersect, keys_union, keys_probe, bucket_cell_tasks, boxes_all, voxel_cells, voxel_grid, brick_versions, brick_lookup,
+    point_bounds, point_query_stats, point_cell_stats, keys_intersect, keys_union, keys_probe, bucket_cell_tasks, boxes_all, voxel_cells, voxel_grid, voxel_grid_mixed, brick_versions, brick_lookup,
     volume_types, brick_meta, brick_export, volume_mask_report, volume_load_reasons,
     parse_sensor, export_sensor_csv, export_sensor_json, export_raw_csv, export_raw_json, export_envelope, rows_refused, keys_missing, selectivity_report)}
 for _f in (_volume_tile, _volume_cells, _volume_coverage, _volume_mask, _volume_mask_cells, _volume_export):
@@ -586,6 +593,9 @@ select row_key, time_millis, (case when sim_id is null then null when sim_id=''
     "boxes_all": f"with {_POINT_V} select p_partkey box_id, count(*) points from part, point_v where x between 4144000+p_partkey*9%980 and 4144020+p_partkey*9%980 and y between 647000+p_partkey*8%970 and 647030+p_partkey*8%970 and z between -2700 and -2500 group by 1",
     "voxel_cells": f"with {_VOXEL_V} select brick_key, {_morton('((i+8)//16)', '((j+8)//16)', '((k+4)//8)')} cell_4, {_morton('(i+8)', '(j+8)', '(k+4)')} cell_8 from voxel_v",
     "voxel_grid": f"with {_VOXEL_V} select 10::double dx, 10::double dy, 5::double dz, greatest(-min(i),0) bi, greatest(-min(j),0) bj, greatest(-min(k),0) bk, count(*) n, 0::bigint mismatched from voxel_v",
+    "voxel_grid_mixed": f"""with {_VOXEL_V}, v as (select brick_key, x_max - x_min + case when x_min % 70 = 0 then 5 else 0 end w, y_max-y_min h, z_max-z_min d from voxel_v),
+ f as (select arg_min(w, brick_key) dx, arg_min(h, brick_key) dy, arg_min(d, brick_key) dz from v)
+select any_value(dx) dx, any_value(dy) dy, any_value(dz) dz, max(w) ex, max(h) ey, max(d) ez, count(*) n, count(*) filter (abs(w-dx)>greatest(1,dx)*1e-6 or abs(h-dy)>greatest(1,dy)*1e-6 or abs(d-dz)>greatest(1,dz)*1e-6) mismatched from v, f""",
     "brick_versions": f"with d as (select {_KEYN.format(c='row_key')} \"key\", * from volume_brick_data), r as (select *, row_number() over (partition by \"key\" order by written_at desc, coalesce(t,-1e9) desc, vx desc, vy desc, vz desc) rn from d) select \"key\", written_at, t, vx from r where rn=1",
     "brick_lookup": f"select entry_id from volume_idx_unified where {_KEYN.format(c='dk')} in (select {_KEYN.format(c='row_key')} from volume_brick_data)",
     "volume_tile": f"with {_VOLUME_V} select model_id||'|'||time_ms||'|0|0|0' brick_key, 2048::int cells, len(list_filter(vals, lambda v: v<>-9999))::int filled, round(list_sum(list_transform(vals, lambda v: v::double)),4) total from volume_v",
