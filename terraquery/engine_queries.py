@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraquery import line_twins
 from terraquery.functions import codes as C
 from terraquery.functions.codec import decode_payload, encode_payload
 from terraquery.functions.keys import point_sim_id, row_key_text
@@ -16,7 +17,7 @@ from terraquery.operators import volume as V
 from terraquery.plans import predicates as P
 from terraquery.plans import ranges as R
 from terraquery.session import shared_dir
-from terraquery.sources import catalog, exports, jobs, records
+from terraquery.sources import catalog, exports, jobs, lines, records
 from terraquery.sources import views as S
 
 BOX = P.Box(4144100, 647030, -2650, 4144800, 647170, -2350)
@@ -112,6 +113,16 @@ def z_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return f.where(P.both(*[F.col(f"i{a}").between(lo[i], hi[i]) for i, a in enumerate("xyz")])).select("row_key")
 
 
+def curve_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by ranges of the permuted code."""
+    lo, hi = R.world_box((SENSOR_BOX.x0, SENSOR_BOX.y0, SENSOR_BOX.z0), (SENSOR_BOX.x1, SENSOR_BOX.y1, SENSOR_BOX.z1))
+    hit = F.lit(False)
+    for a, b in R.code_ranges(lo, hi, 64, curve=True):
+        hit = hit | F.col("code").between(a, b)
+    f = E.sensor_facts(S.sensors(spark, sf)).withColumn("code", C.curve_code(F.col("ix"), F.col("iy"), F.col("iz"))).where(hit)
+    return f.where(P.both(*[F.col(f"i{a}").between(lo[i], hi[i]) for i, a in enumerate("xyz")])).select("row_key")
+
+
 # --- SENSOR
 
 _SENSOR = {
@@ -376,6 +387,39 @@ def _sensor_lines(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("user_id").cast("string"), (F.col("event_id") % 1000).cast("string"), F.lit("22"), bad, "event_type").alias("raw_line"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    catalog.delete_on_exit(spark, path)
+    return path
+
+
+def lines_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a text file with their numbers."""
+    path = _folder(spark, "text")
+    e = S.table(spark, sf, "events").orderBy("event_id").select(F.concat_ws(",", F.col("event_id").cast("string"), "event_type").alias("value"))
+    e.coalesce(1).write.text(path)
+    return records.read_numbered(spark, path).select("line_no", "raw_line")
+
+
+def _load_report(spark: SparkSession, sf: str, family: str) -> DataFrame:
+    """Text files written, loaded as facts and read back: lines by what became of them."""
+    path, root = _folder(spark, "text"), _folder(spark, "loaded")
+    if family == "sensor":
+        _sensor_lines(spark, sf).select(F.col("raw_line").alias("value")).write.text(path)
+    else:
+        t = S.table(spark, sf, f"geosim_{family}_line")
+        t.repartition("file_name").sortWithinPartitions("file_name", "line_no").select("file_name", F.col("raw_line").alias("value")).write.partitionBy("file_name").text(path)
+    out = jobs.LOADERS[family](spark, path, root, "d")
+    stored = jobs.facts(spark, root, family, "d")[0]
+    rows = [("loaded", out["loaded"]), ("failed", out["failed"]), *out["reasons"].items()]
+    if family == "point":
+        rows.append(("stored", stored.where("ix is not null").count()))
+    elif family == "sensor":
+        rows.append(("stored", stored.where("day_bucket is not null").count()))
+    return spark.createDataFrame(rows, "what string, n long")
+
+
 def parse_sensor(spark: SparkSession, sf: str) -> DataFrame:
     p = records.parse_sensors(_sensor_lines(spark, sf))
     return p.groupBy("sensor_id", "sensor_type").agg(F.count(F.lit(1)).alias("n"), F.min("time_ms").alias("first_ms"), F.max("longitude").alias("max_lon"))
@@ -424,7 +468,7 @@ def selectivity_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    z3d_encode, block_id_level, curve_code, fnv1a_hash, day_bucket, days_of_tasks, temp_bucket, vel_bucket, unified_key, unified_key_kinds, point_index_entries, z_ranges,
+    z3d_encode, block_id_level, curve_code, fnv1a_hash, day_bucket, days_of_tasks, temp_bucket, vel_bucket, unified_key, unified_key_kinds, point_index_entries, z_ranges, curve_ranges, lines_numbered,
     point_bounds, point_query_stats, point_cell_stats, keys_intersect, keys_union, keys_probe, bucket_cell_tasks, boxes_all, voxel_cells, voxel_grid, voxel_grid_mixed, brick_versions, brick_lookup,
     volume_types, brick_meta, brick_export, volume_mask_report, volume_load_reasons,
     parse_sensor, export_sensor_csv, export_sensor_json, export_raw_csv, export_raw_json, export_envelope, rows_refused, keys_missing, selectivity_report)}
@@ -434,6 +478,7 @@ QUERIES |= {f"{n}_{e}" if e != "unified" else n: partial(_sensor, name=n, engine
 QUERIES |= {f"{n}_{e}": partial(_point, name=n, engine=e) for n in _POINT for e in E.ENGINES}
 QUERIES |= {f"{n}_{e}": partial(_voxel, name=n, engine=e) for n in _VOXEL for e in E.ENGINES}
 QUERIES |= {f"sim_voxel_indexed_l{n}": partial(_voxel, name="sim_voxel", engine="unified", level=n, mode="indexed") for n in (4, 6, 8)}
+QUERIES |= {f"load_{f}s": partial(_load_report, family=f) for f in ("sensor", "point", "voxel")}
 QUERIES |= {f"volume_bricks_{e}": partial(_volume_bricks, engine=e) for e in ("unified", "incremental")}
 QUERIES |= {f"stored_{n}": partial(_stored_point, name=n) for n in _POINT} | {f"stored_{n}": partial(_stored_voxel, name=n) for n in _VOXEL}
 QUERIES |= {"stored_sensor_spatial": _stored_sensor, "stored_volume_bricks": _stored_volume}
@@ -648,6 +693,14 @@ for _l in (4, 6, 8):
 for _e in ("unified", "incremental"):
     ORACLES[f"volume_bricks_{_e}"] = f"with {_VOL_HIT} select brick_key, model_id, time_ms from hit"
 ORACLES["stored_sensor_spatial"], ORACLES["stored_volume_bricks"] = ORACLES["sensor_spatial"], ORACLES["volume_bricks_unified"]
+ORACLES["curve_ranges"] = ORACLES["z_ranges"]
+ORACLES["lines_numbered"] = "select row_number() over (order by event_id) line_no, event_id||','||event_type raw_line from events"
+ORACLES["load_sensors"] = """with e as (select event_id%10=3 bad from events), n as (select count(*) filter (not bad) ok, count(*) filter (bad) no from e)
+select unnest(['loaded','failed','altitude','stored']) what, unnest([ok, no, no, ok]) n from n"""
+for _f, _spec in (("point", lines.POINT_LINES), ("voxel", lines.VOXEL_LINES)):
+    _name = f"geosim_{_f}_line"
+    ORACLES[f"load_{_f}s"] = f"""with {line_twins.checked(_name, _spec)}, r as (select split_part(errors[1],':',1) reason from {_name}_e)
+select coalesce(nullif(reason,''),'loaded') what, count(*) n from r group by 1 union all select 'failed', count(*) from r where reason<>''""" + (" union all select 'stored', count(*) from r where coalesce(reason,'')=''" if _f == "point" else "")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

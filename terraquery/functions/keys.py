@@ -18,12 +18,12 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*kept, *[F.col(f"__once.{n}").alias(n) for n in cols])
 
 
-_EDGES = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
+_EDGES = "".join(map(chr, range(33)))
 
 
 def trimmed(c: Column) -> Column:
     """Text without outer blanks and control characters (all up to U+0020)."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_EDGES))
 
 
 def point_sim_id(c: Column) -> Column:
