@@ -267,26 +267,37 @@ def stored(spark: SparkSession, sf: str) -> str:
     return _AT[key]
 
 
+_OPEN: dict[tuple, tuple] = {}
+
+
+def opened(spark: SparkSession, sf: str, family: str, layout: str = "unified") -> tuple:
+    """Stored facts and their bounds or grid, listed and read once in an application."""
+    key = (spark.sparkContext.applicationId, sf, family, layout)
+    if key not in _OPEN:
+        _OPEN[key] = jobs.facts(spark, stored(spark, sf), family, "test", layout)
+    return _OPEN[key]
+
+
 _LAYOUT_OF = {"": "unified", "_temp": "temp_unified", "_vel": "vel_unified"}
 
 
 def _stored_point(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    facts, bounds = jobs.facts(spark, stored(spark, sf), "point", "test", _LAYOUT_OF[name.removeprefix("sim_point")])
+    facts, bounds = opened(spark, sf, "point", _LAYOUT_OF[name.removeprefix("sim_point")])
     return E.point_query(facts, bounds, TIME, BOX, level=LEVEL, **_POINT[name]).select("dk", "sim_id", "time_ms", "x", "y", "z", "t")
 
 
 def _stored_voxel(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    facts, grid = jobs.facts(spark, stored(spark, sf), "voxel", "test", _LAYOUT_OF[name.removeprefix("sim_voxel")])
+    facts, grid = opened(spark, sf, "voxel", _LAYOUT_OF[name.removeprefix("sim_voxel")])
     return E.voxel_query(facts, grid, TIME, VOXEL_BOX, **_VOXEL[name]).select("brick_key", "sim_id", "t", "vx")
 
 
 def _stored_sensor(spark: SparkSession, sf: str) -> DataFrame:
-    facts, _ = jobs.facts(spark, stored(spark, sf), "sensor", "test")
+    facts, _ = opened(spark, sf, "sensor")
     return E.sensor_query(facts, _SENSOR["sensor_spatial"], level=LEVEL).select("row_key", "time_ms", "sensor_id", "longitude", "latitude", "altitude", "sensor_type")
 
 
 def _stored_volume(spark: SparkSession, sf: str) -> DataFrame:
-    facts, _ = jobs.facts(spark, stored(spark, sf), "volume", "test")
+    facts, _ = opened(spark, sf, "volume")
     return V.volume_query(facts, "channelized", VOLUME_TIME, VOLUME_BOX).select("brick_key", "model_id", "time_ms")
 
 
