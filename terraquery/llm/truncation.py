@@ -224,6 +224,8 @@ def cut_lengths(ends: DataFrame, window: int = 64, fdr: float = 0.01) -> DataFra
     each = ends.select("source", "core_chars", "core_bytes", "text_hash").distinct()
     units = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"core_{u}").alias("length")) for u in ("chars", "bytes")]))
     hist = each.select("source", units.alias("x")).groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
+    # few bytes but wide windows: a number of partitions that is given is not coalesced into one task
+    hist = hist.repartition(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "unit")
     by = Window.partitionBy("source", "unit").orderBy("length")
     hist = hist.withColumn("at_risk", F.sum("n").over(by.rowsBetween(0, Window.unboundedFollowing))).withColumn("peak", F.lit(False))
     near = by.rangeBetween(-window, window)
