@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 
 #: Points aimed at in a tile, and sampled for each.
 TILE_ROWS, TILE_SAMPLE = 20_000, 32
+#: Tiles' worth of points up to which a hot tile stays whole, and that its parts hold; its points
+#: are sent once for each part, so parts are large.
+PART_TILES = 20
 #: Rows of the sample at least; it goes to the driver, as the bounds of any range partition do.
 LEAST_SAMPLE = 20_000
 #: Pairs looked at, and trapezoids held, at once.
@@ -74,8 +77,7 @@ class Tiles:
             mine = y[at == s]
             ys.append(_cuts(mine, int(np.ceil(len(mine) * scale / tile_rows))))
             size = np.bincount(np.searchsorted(ys[-1], mine, "right"), minlength=len(ys[-1]) + 1) * scale
-            # a tile of up to four times the aim stays whole
-            parts.append(np.where(size > 4 * tile_rows, np.ceil(size / (2 * tile_rows)), 1))
+            parts.append(np.maximum(np.ceil(size / (PART_TILES * tile_rows)), 1))
         return cls(xs, ys, np.concatenate(parts).astype("int64"))
 
     @property

@@ -46,8 +46,9 @@ def test_near(spark, r, tile_rows):
     assert counts == {p[0]: (least[p[1:]], deg.get(p[0], 0)) for p in good}
 
 
-def test_hot_position_and_hot_spot(spark):
+def test_hot_position_and_hot_spot(spark, monkeypatch):
     """A third of all rows at one position and a third in one small place: their tiles are spread over parts."""
+    monkeypatch.setattr(N, "PART_TILES", 2)
     rng = random.Random(5)
     rows = [(f"a{i}", 7.0, 7.0, 1.0) for i in range(300)] + [(f"b{i}", 7.0 + rng.random() / 9, 7.2, 1.0 + rng.random()) for i in range(300)]
     rows += [(f"c{i}", rng.uniform(0, 90), rng.uniform(0, 90), 0.0) for i in range(300)] + [("same", 50.0, 50.0, 0.0)] * 500
