@@ -251,7 +251,7 @@ LAYOUTS = {"sensor": None, "point": ("unified", "temp_unified", "vel_unified"),
 def stored(spark: SparkSession, sf: str) -> str:
     """Root of the facts of all families over the test tables, written once in an application."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _AT:
+    if key not in _AT or not catalog.exists(spark, _AT[key]):
         root = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
         raw = S.points(spark, sf)
         bounds, voxels = E.point_bounds(raw), S.voxels(spark, sf)
@@ -272,9 +272,10 @@ _OPEN: dict[tuple, tuple] = {}
 
 def opened(spark: SparkSession, sf: str, family: str, layout: str = "unified") -> tuple:
     """Stored facts and their bounds or grid, listed and read once in an application."""
-    key = (spark.sparkContext.applicationId, sf, family, layout)
+    root = stored(spark, sf)
+    key = (root, family, layout)
     if key not in _OPEN:
-        _OPEN[key] = jobs.facts(spark, stored(spark, sf), family, "test", layout)
+        _OPEN[key] = jobs.facts(spark, root, family, "test", layout)
     return _OPEN[key]
 
 
