@@ -52,8 +52,14 @@ def p2_span(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles per sim_id and day, of the groups that have no rank error."""
-    return _percentiles(daily_sketches(spark, sf), ["sim_id", "day"]).where("rank_error = 0").drop("rank_error")
+    """Percentiles per sim_id and day without rank error: of groups in counters, from their rows."""
+    keys = ["sim_id", "day"]
+    found = written(_percentiles(daily_sketches(spark, sf), keys))
+    sure, large = found.where("rank_error = 0").drop("rank_error"), found.where("rank_error > 0").select(*keys)
+    if large.isEmpty():
+        return sure
+    rows = quantiles.of_groups(_days(spark, sf), large, keys)
+    return sure.unionByName(quantiles.exact(rows, keys, "t", list(PROBS.values()), names=list(PROBS)))
 
 
 # 6 - filling fixed-capacity containers

@@ -122,6 +122,36 @@ def test_edges(spark):
     assert Q.quantiles(Q.merge(empty, []), [], [0.5]).count() == 0
 
 
+def exact_codes(values):
+    """The middles of the cells that hold the wanted ranks, and the widest half of a cell."""
+    v = np.sort(values)
+    at = [v[max(int(np.ceil(p * len(v) - 1e-9)), 1) - 1] for p in PROBS]
+    middle, off = Q.SketchSpec().decode(Q.SketchSpec().encode(np.array(at)))
+    return [*map(float, middle), float(off.max())]
+
+
+def test_days_of_many_values_are_whole(spark, tmp_path):
+    """Days of more values than a group keeps as codes are in the result, too, with exact ranks."""
+    rng = np.random.default_rng(5)
+    day = 86_400_000
+    values = {("1", 0): rng.normal(380, 40, 20_000), (None, 0): -rng.random(9_500) * 1e5, ("1", 1): rng.normal(380, 40, 50), (None, 1): np.repeat([3.0, 4.0], 5_000)}
+    rows = [(s, d * day + 5, float(v)) for (s, d), of in values.items() for v in of]
+    spark.createDataFrame(rows, "sim_id string, time_millis long, t double").repartition(5).write.parquet(str(tmp_path / "geosim_point_data.parquet"))
+    from terraquery.llm import queries as L
+
+    got = {(r["sim_id"], r["day"].toordinal() - 719163): r for r in L.p2_days(spark, str(tmp_path)).collect()}
+    assert set(got) == set(values)
+    for g, of in values.items():
+        assert list(got[g][2:]) == [len(of), *exact_codes(of)]
+
+
+def test_exact_ranks_of_groups_without_keys(spark):
+    rows = [(v,) for _, _, v in data(5000)] + [(None,), (float("nan"),)]
+    (r,) = Q.exact(spark.createDataFrame(rows, "v double").repartition(3), [], "v", PROBS).collect()
+    assert list(r) == [5000, *exact_codes([v for _, _, v in data(5000)])]
+    assert Q.exact(spark.createDataFrame([], "v double"), [], "v", PROBS).count() == 0
+
+
 def test_queries_against_exact(spark, sf):
     from terraquery.llm import queries as L
 
