@@ -14,6 +14,7 @@ from terraquery.functions.codec import decode_payload, encode_payload
 from terraquery.functions.keys import point_sim_id, row_key_text
 from terraquery.operators import engines as E
 from terraquery.operators import volume as V
+from terraquery.operators.boxes import count_in_boxes
 from terraquery.plans import predicates as P
 from terraquery.plans import ranges as R
 from terraquery.session import shared_dir
@@ -195,7 +196,7 @@ def boxes_all(spark: SparkSession, sf: str) -> DataFrame:
     p = S.table(spark, sf, "part").select(
         F.col("p_partkey").alias("box_id"), *[F.expr(e).cast("double").alias(n) for n, e in (
             ("x0", "4144000 + p_partkey * 9 % 980"), ("y0", "647000 + p_partkey * 8 % 970"), ("z0", "-2700"), ("x1", "4144020 + p_partkey * 9 % 980"), ("y1", "647030 + p_partkey * 8 % 970"), ("z1", "-2500"))])
-    return E.in_boxes(S.points(spark, sf), p, 25.0).groupBy("box_id").agg(F.count(F.lit(1)).alias("points"))
+    return count_in_boxes(S.points(spark, sf), p)
 
 
 # --- VOXEL
