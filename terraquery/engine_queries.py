@@ -245,24 +245,37 @@ def brick_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Row groups in the small test tables, a thousandth of the usual size.
 ROW_GROUP = 128 << 10
+#: Rows of a slice of months that is written at a time, and the most slices, as each reads its source.
+SLICE_ROWS, SLICES = 2_000_000, 6
 _AT: dict[tuple, str] = {}
-LAYOUTS = {"sensor": None, "point": ("unified", "temp_unified", "vel_unified"), "voxel": ("unified", "temp_unified", "vel_unified"), "volume": None}
 
 
-def stored(spark: SparkSession, sf: str) -> str:
-    """Root of the facts of all families over the test tables, written once in an application."""
-    key = (spark.sparkContext.applicationId, sf)
+def _dated(df: DataFrame) -> DataFrame:
+    return df.select(C.day_bucket(F.col("time_ms")).alias("day_bucket"))
+
+
+def stored(spark: SparkSession, sf: str, family: str, layout: str = "unified") -> str:
+    """Root of the facts of a family in a layout over the test tables, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf, family, layout)
     if key not in _AT or not catalog.exists(spark, _AT[key]):
-        root = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-        raw = S.points(spark, sf)
-        bounds, voxels = E.point_bounds(raw), S.voxels(spark, sf)
-        grid = E.voxel_grid(voxels, "brick_key").grid
-        made = {"sensor": E.sensor_facts(S.sensors(spark, sf)), "point": E.point_facts(raw, bounds), "voxel": E.voxel_facts(voxels, grid), "volume": _bricks(spark, sf)}
-        for family, df in made.items():
-            for layout in catalog.layouts(family, LAYOUTS[family]):
-                catalog.write_facts(df, root, family, "test", layout, row_group=ROW_GROUP)
-        catalog.write_meta(spark, jobs.meta_path(root, "point", "test"), bounds=bounds)
-        catalog.write_meta(spark, jobs.meta_path(root, "voxel", "test"), grid=grid)
+        root, meta, days = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", {}, None
+        if family == "point":
+            days = S.points(spark, sf)
+            meta["bounds"] = E.point_bounds(days)
+            df = E.point_facts(days, meta["bounds"])
+        elif family == "voxel":
+            days = S.voxel_places(spark, sf)  # its grid is that of the voxels, as versions share their place
+            meta["grid"] = E.voxel_grid(days, "brick_key").grid
+            df = E.voxel_facts(S.voxels(spark, sf), meta["grid"])
+        elif family == "sensor":
+            days = S.sensors(spark, sf)
+            df = E.sensor_facts(days)
+        else:
+            df = _bricks(spark, sf)
+        cuts = catalog.month_cuts(_dated(days), SLICE_ROWS, SLICES) if days is not None else []
+        catalog.write_facts(df, root, family, "test", layout, row_group=ROW_GROUP, cuts=cuts)
+        if meta:
+            catalog.write_meta(spark, jobs.meta_path(root, family, "test"), **meta)
         catalog.delete_on_exit(spark, root)
         _AT[key] = root
     return _AT[key]
@@ -273,7 +286,7 @@ _OPEN: dict[tuple, tuple] = {}
 
 def opened(spark: SparkSession, sf: str, family: str, layout: str = "unified") -> tuple:
     """Stored facts and their bounds or grid, listed and read once in an application."""
-    root = stored(spark, sf)
+    root = stored(spark, sf, family, layout)
     key = (root, family, layout)
     if key not in _OPEN:
         _OPEN[key] = jobs.facts(spark, root, family, "test", layout)

@@ -5,12 +5,13 @@ Everything goes through Spark's own file systems, so a dataset may lie on any of
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquery.functions import codes as C
@@ -59,23 +60,54 @@ def table_of(layout: str) -> str:
     return "facts" if layout == "unified" else f"facts_{layout}"
 
 
-def write_facts(df: DataFrame, root: str, family: str, dataset: str, layout: str = "unified", partitions: int | None = None, row_group: int | None = None) -> str:
+def month_of(day_bucket: str) -> Column:
+    return F.floor(F.col(day_bucket) / 100).cast("int")
+
+
+def month_cuts(days: DataFrame, rows: int, most: int) -> list[int]:
+    """Last months of all but the last of the slices of about ``rows`` rows, ``most`` at most, by the column ``day_bucket``."""
+    count = sorted((r[0], r[1]) for r in days.groupBy(month_of("day_bucket")).count().collect() if r[0] is not None)
+    slices = min(most, -(-sum(n for _, n in count) // rows))
+    cuts, seen, total = [], 0, sum(n for _, n in count)
+    for month, n in count[:-1]:
+        seen += n
+        if seen * slices >= total * (len(cuts) + 1):
+            cuts.append(month)
+    return cuts[: max(slices - 1, 0)]
+
+
+def write_facts(df: DataFrame, root: str, family: str, dataset: str, layout: str = "unified", partitions: int | None = None, row_group: int | None = None, cuts: Sequence[int] = ()) -> str:
     """Write facts by month, range-partitioned and sorted by attribute and Morton code.
 
     Rows that are near in space lie in the same row groups, whose bounds of index
     columns, code and day let a scan skip them; the range partition takes the place of
     region pre-splitting.  Codes of negative indices are those of their low bits, so they
     only affect the order.  ``row_group`` is the size of a row group in bytes, by default
-    the writer's.
+    the writer's.  ``cuts`` are months that end a slice: slices are written one after the
+    other, so that the shuffle files of one take room at a time, but the source of ``df`` is
+    read for each.
     """
     path = path_of(root, family, dataset, table_of(layout))
     lead = LEADING[family][layout]
     index = [F.col(c).bitwiseAND(F.lit(C.MAX_INDEX)) for c in AXES[family]]
-    df = df.withColumn("month", F.floor(F.col("day_bucket") / 100).cast("int")).withColumn("z_code", C.morton(*index))
+    df = df.withColumn("month", month_of("day_bucket")).withColumn("z_code", C.morton(*index))
     by = ["month", *([lead] if lead else []), "z_code"]
-    df = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    out = df.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("month")
-    (out.option("parquet.block.size", row_group) if row_group else out).parquet(path)
+    for i in range(len(cuts) + 1):
+        mine = F.lit(True)
+        if i < len(cuts):
+            mine = mine & (F.col("month") <= cuts[i])
+        if i:
+            mine = mine & (F.col("month") > cuts[i - 1])
+        elif cuts:
+            mine = mine | F.col("month").isNull()
+        part = df.where(mine)
+        part = part.repartitionByRange(partitions, *by) if partitions else part.repartitionByRange(*by)
+        out = part.sortWithinPartitions(*by).write.mode("append" if i else "overwrite").partitionBy("month")
+        (out.option("parquet.block.size", row_group) if row_group else out).parquet(path)
+        if cuts:
+            del part, out
+            gc.collect()  # the shuffle files of what no one refers to are deleted
+            df.sparkSession.sparkContext._jvm.System.gc()
     return path
 
 

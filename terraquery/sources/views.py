@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquery.operators.engines import latest
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,16 +32,35 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("(l_tax - cast(0.04 as double)) * cast(0.01 as double)").alias("vy"), F.expr("(l_discount - l_tax) * cast(0.1 as double)").alias("vz"))
 
 
-def voxels(spark: SparkSession, sf: str) -> DataFrame:
-    raw = table(spark, sf, "lineitem").select(
+_VOXEL_KEY = ["sim_id", "time_ms", "i", "j", "k"]
+
+
+def _voxel_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the voxels, of which those of one key are versions."""
+    return table(spark, sf, "lineitem").select(
         F.expr("concat(cast(l_suppkey % 3 + 1 as string), '/3')").alias("sim_id"), _ms("l_shipdate").alias("time_ms"),
         F.expr("l_orderkey % 64 - 8").alias("i"), F.expr("l_partkey % 64 - 8").alias("j"), F.expr("cast(l_quantity as bigint) % 16 - 4").alias("k"),
-        F.expr("cast(273.15 as double) + l_extendedprice / 500").alias("t"), F.expr("(l_discount - cast(0.05 as double)) * cast(1e-4 as double)").alias("vx"),
-        F.expr("(l_tax - cast(0.04 as double)) * cast(1e-4 as double)").alias("vy"), F.expr("(l_discount - l_tax) * cast(1e-3 as double)").alias("vz"),
-        F.col("l_extendedprice").alias("tie"), F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("tie2"))
-    one = latest(raw, ["sim_id", "time_ms", "i", "j", "k"], [F.col("tie"), F.col("tie2")])
+        "l_extendedprice", F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("tie"), "l_discount", "l_tax")
+
+
+def _placed(rows: DataFrame, *more: str) -> DataFrame:
+    """Voxels of a key with their edges and the key as text."""
     edges = {f"{a}_{e}": ((F.col(n) + d) * s).cast("double") for a, n, s in (("x", "i", 10), ("y", "j", 10), ("z", "k", 5)) for e, d in (("min", 0), ("max", 1))}
-    return one.select("sim_id", "time_ms", *[c.alias(n) for n, c in edges.items()], "t", "vx", "vy", "vz", F.expr("concat_ws('|', sim_id, time_ms, i + 8, j + 8, k + 4)").alias("brick_key"))
+    return rows.select("sim_id", "time_ms", *[c.alias(n) for n, c in edges.items()], *more, F.expr("concat_ws('|', sim_id, time_ms, i + 8, j + 8, k + 4)").alias("brick_key"))
+
+
+def voxel_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Place and time of every row of the voxels, versions included; nothing is shuffled."""
+    return _placed(_voxel_rows(spark, sf))
+
+
+def voxels(spark: SparkSession, sf: str) -> DataFrame:
+    # the version is what is compared: one struct, of raw columns, is all that is shuffled
+    one = _voxel_rows(spark, sf).groupBy(*_VOXEL_KEY).agg(F.max(F.struct("l_extendedprice", "tie", "l_discount", "l_tax")).alias("r")).select(*_VOXEL_KEY, "r.*")
+    values = {
+        "t": "cast(273.15 as double) + l_extendedprice / 500", "vx": "(l_discount - cast(0.05 as double)) * cast(1e-4 as double)",
+        "vy": "(l_tax - cast(0.04 as double)) * cast(1e-4 as double)", "vz": "(l_discount - l_tax) * cast(1e-3 as double)"}
+    return _placed(one.select(*_VOXEL_KEY, *[F.expr(e).alias(n) for n, e in values.items()]), *values)
 
 
 def volumes(spark: SparkSession, sf: str) -> DataFrame:

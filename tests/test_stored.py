@@ -46,6 +46,32 @@ def test_scan_skips_and_loses_nothing(spark, tmp_path):
     assert missing.count() == len(rows)
 
 
+def test_only_facts_that_are_asked_for_are_written(spark, sf, tmp_path):
+    from pathlib import Path
+
+    from terraquery import engine_queries as Q
+    from terraquery.session import shared_dir
+
+    (tmp_path / "t").symlink_to(sf)  # another path: nothing is kept for it yet
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    there = set(shared.glob("stored-*"))
+    assert Q.QUERIES["stored_sim_voxel_vel"](spark, str(tmp_path / "t")).count() >= 0
+    (root,) = set(shared.glob("stored-*")) - there
+    assert {str(p.relative_to(root)) for p in root.glob("*/*/*")} == {"voxel/test/facts_vel_unified", "voxel/test/meta"}
+
+
+def test_slices_of_months_are_whole(spark, tmp_path):
+    rows, df = points(spark)
+    df = df.withColumn("time_ms", F.expr("if(dk in ('d1', 'd2'), null, time_ms)"))
+    facts = E.point_facts(df, E.point_bounds(df)).cache()
+    for most, rows_ in ((1, 10), (3, 10), (12, 1000), (40, 10)):
+        cuts = catalog.month_cuts(facts, rows_, most)
+        assert cuts == sorted(set(cuts)) and len(cuts) < most and (len(cuts) >= 1) == (most > 1)
+        got = spark.read.parquet(catalog.write_facts(facts, str(tmp_path), "point", "d", cuts=cuts))
+        assert sorted(r["dk"] for r in got.select("dk").collect()) == sorted(r[0] for r in rows)
+    assert catalog.month_cuts(facts.where("false"), 10, 12) == []
+
+
 def test_limit_of_cells_is_that_of_the_list(spark):
     _, df = points(spark, 400)
     bounds = E.point_bounds(df)
